@@ -156,7 +156,8 @@ def receipt_levels(words: DataFrame, bound: DataFrame) -> DataFrame:
     named = words.select("page_key", F.lower("text").alias("name"), "line_idx").groupBy("page_key", "name").agg(F.collect_set("line_idx").alias("on"))
     out = lines.join(hits, ["page_key", "line_idx"], "left")
     for side in ("entity", "spec"):
-        out = out.join(named.select("page_key", F.col("name").alias(f"{side}_name"), F.col("on").alias(f"{side}_on")), (F.lower(f"h.{side}") == F.col(f"{side}_name")) & (out["page_key"] == named["page_key"]), "left").drop(named["page_key"])
+        other = named.select(F.col("page_key").alias("__page"), F.col("name").alias(f"{side}_name"), F.col("on").alias(f"{side}_on"))
+        out = out.join(other, (F.lower(f"h.{side}") == F.col(f"{side}_name")) & (F.col("page_key") == F.col("__page")), "left").drop("__page")
     found = F.col("h").isNotNull()
     words_in = lambda c: F.split(F.lower(c), " ")
     keys = F.split(F.lower(F.array_join(F.transform("ks", lambda k: k["text"]), " ")), " ")
@@ -190,7 +191,8 @@ def link_levels(words: DataFrame, links: DataFrame, bound: DataFrame) -> DataFra
     names = w.select("page_key", F.lower("text").alias("name"), "entity_id", (F.col("label") == "question").alias("q")).groupBy("page_key", "name").agg(F.collect_set("entity_id").alias("ids"), F.max("q").alias("q"))
     out = links.join(answers, ["page_key", "to_id"], "left")
     for side in ("e", "s"):
-        out = out.join(names.select("page_key", F.col("name").alias(f"{side}_name"), F.col("ids").alias(f"{side}_ids"), F.col("q").alias(f"{side}_q")), (F.col(f"h.f.{side}") == F.col(f"{side}_name")) & (out["page_key"] == names["page_key"]), "left").drop(names["page_key"])
+        other = names.select(F.col("page_key").alias("__page"), F.col("name").alias(f"{side}_name"), F.col("ids").alias(f"{side}_ids"), F.col("q").alias(f"{side}_q"))
+        out = out.join(other, (F.col(f"h.f.{side}") == F.col(f"{side}_name")) & (F.col("page_key") == F.col("__page")), "left").drop("__page")
     yes = lambda c: F.coalesce(c, F.lit(False))
     found = F.col("h").isNotNull()
     spatial = found & (yes(F.col("e_q")) | yes(F.col("s_q")))
