@@ -22,9 +22,14 @@ BLOCK_DOCS, BLOCK_CHARS = 8192, 24 << 20
 LONG = 200
 
 
-def _packed(docs: np.ndarray) -> bytes:
-    """Places in a block, ascending and repeated as often as a pre-token stands there."""
-    return docs.astype("<u2").tobytes()
+def _pack(names: list[int | None], sizes: list[int], extra: list[int]) -> bytes:
+    """A block's documents: whether they have a doc_id, doc_ids, bytes, tokens of long pre-tokens. In one binary value: a
+    column of lists would cost every row that goes to Python more than all the rest."""
+    return np.array([[x is not None for x in names], [x or 0 for x in names], sizes, extra], "<i8").tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i8").reshape(4, -1)
 
 
 def _index(tokenizer: str):
@@ -57,8 +62,8 @@ def _index(tokenizer: str):
             n = len(pieces)
             for a in range(0, n, 20_000):
                 b = min(n, a + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(pieces[a:b], pa.string()), pa.array(np.full(b - a, key)), body.slice(a, b - a), pa.nulls(b - a, pa.list_(pa.int64())), pa.nulls(b - a, pa.list_(pa.int64())), pa.nulls(b - a, pa.list_(pa.int64()))], ["piece", "block", "places", "doc_ids", "n_bytes", "n_extra"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([key]), pa.array([None], pa.binary()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([extra], pa.list_(pa.int64()))], ["piece", "block", "places", "doc_ids", "n_bytes", "n_extra"])
+                yield pa.RecordBatch.from_arrays([pa.array(pieces[a:b], pa.string()), pa.array(np.full(b - a, key)), body.slice(a, b - a)], ["piece", "block", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([key]), pa.array([_pack(names, sizes, extra)], pa.binary())], ["piece", "block", "places"])
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -98,7 +103,7 @@ def _count(tokenizer: str):
             if pieces and pieces[-1] is not None:
                 last, last_n = pieces[-1], known[pieces[-1]]
             n = pa.array([known.get(x) for x in pieces], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), n, *batch.columns[2:]], ["block", "n", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(1), n, batch.column(2)], ["block", "n", "places"])
 
     return count
 
@@ -109,10 +114,9 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> Iterator[pa.RecordBatch]:
         if docs is not None:
-            names, sizes, extra = docs
-            n = np.zeros(len(names), np.int64)
-            n[: min(len(n), len(sums))] = sums[: len(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(n + np.array(extra, np.int64), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            known, names, sizes, extra = docs
+            ids = pa.array(names, pa.int64(), mask=known == 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[: len(names)] + extra)], ["doc_id", "n_bytes", "n_tokens"])
 
     for batch in batches:
         blocks = batch.column(0).to_numpy()
@@ -125,13 +129,12 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, sums, docs = blocks[a], np.zeros(BLOCK_DOCS, np.int64), None
             part = batch.slice(a, b - a)
             raw = part.column(2).to_pylist()
-            for k, x in enumerate(raw):
-                if x is None:
-                    docs = tuple(part.column(c)[k].as_py() for c in (3, 4, 5))
-            kept = [x or b"" for x in raw]
-            at = np.frombuffer(b"".join(kept), "<u2")
-            times = np.repeat(np.array([v or 0 for v in part.column(1).to_pylist()], np.int64), np.fromiter((len(x) // 2 for x in kept), np.int64, len(kept)))
-            sums += np.bincount(at, times, BLOCK_DOCS).astype(np.int64)
+            pieces = part.column(1)
+            if pieces.null_count:
+                k = pieces.is_null().index(True).as_py()
+                docs, raw[k] = _unpack(raw[k]), b""
+            times = np.repeat(pieces.fill_null(0).to_numpy(), np.fromiter((len(x) // 2 for x in raw), np.int64, len(raw)))
+            sums += np.bincount(np.frombuffer(b"".join(raw), "<u2"), times, BLOCK_DOCS).astype(np.int64)
     yield from done()
 
 
@@ -140,10 +143,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     part). A null text is an empty one, with 0 tokens; repeated rows are separate; an empty table gives none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions_for(rows, 8 << 20)
-    pairs = "block long, {}places binary, doc_ids array<long>, n_bytes array<long>, n_extra array<long>"
-    index = rows.mapInArrow(_index(tokenizer), "piece string, " + pairs.format(""))
+    index = rows.mapInArrow(_index(tokenizer), "piece string, block long, places binary")
     # Rows of a block's documents have no piece; they are dealt out by their block.
     dealt = index.repartition(n, F.when(F.col("piece").isNull(), F.col("block")).otherwise(F.xxhash64("piece"))).sortWithinPartitions("piece")
-    counted = dealt.mapInArrow(_count(tokenizer), pairs.format("n int, "))
+    counted = dealt.mapInArrow(_count(tokenizer), "block long, n int, places binary")
     summed = counted.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
