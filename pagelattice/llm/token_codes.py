@@ -163,14 +163,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "n_docs": len(names), "n_tokens": held}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = encoder.encode(text.as_py() or "", end_id)
-                names.append(name)
-                ids.append(got)
-                held += len(got)
-                if held >= shard_tokens:
-                    yield flush()
-                    names, ids, held, seq = [], [], 0, seq + 1
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
+                texts = [x or "" for x in some.column(1).to_pylist()]
+                for name, got in zip(some.column(0).to_pylist(), encoder.encode_all(texts, end_id), strict=True):
+                    names.append(name)
+                    ids.append(got)
+                    held += len(got)
+                    if held >= shard_tokens:
+                        yield flush()
+                        names, ids, held, seq = [], [], 0, seq + 1
         if names:
             yield flush()
 
@@ -196,4 +198,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1] + base, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path", "base").repartition(4 * n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "base").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -230,7 +230,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True, chunk: int = CHUNK
                         yield pa.RecordBatch.from_pylist(held, _CHUNKS)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(2 * n).mapInArrow(read, CHUNK_ROWS)
+    return manifest.select("path").repartition(n).mapInArrow(read, CHUNK_ROWS)
 
 
 def page_records(chunk_rows: DataFrame) -> DataFrame:
