@@ -22,7 +22,8 @@ WINDOW = 10
 MOST_BYTES = 24 << 20
 #: A-Z to a-z, and what parts words (ASCII other than letters and digits) to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-WORD_RX = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: A word of a text that isn't lower-cased yet.
+WORD_RX = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def words_of(text: str | None) -> list[bytes]:
