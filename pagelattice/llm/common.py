@@ -64,8 +64,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def size_estimate(df: DataFrame) -> int:
-    """Catalyst's estimate of df's bytes; for files, their length."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of what df is made from: the files' lengths, where it is files. Estimates of joins are products, and those of
+    rows that the driver made are unknown; neither is of use here."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def partitions_for(df: DataFrame, each: int) -> int:
