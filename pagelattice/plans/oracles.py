@@ -284,7 +284,62 @@ cgl AS (SELECT page_key, list_sort(list(g)) AS gs FROM cg WHERE g > 0.5 AND n >=
 cry AS (SELECT cg.page_key, cg.pos FROM cg JOIN ct USING (page_key) WHERE cg.g > 0.5 AND cg.g > ct.t)"""
 )
 
-RECEIPT = """rc AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)"""
+def _cuts(name: str, target: str = "md.n") -> str:
+    """The boundaries of the largest line that voted for the target."""
+    return f"{name} AS (SELECT vt.page_key, arg_max(cuts, (size, -g)) AS cuts FROM vt JOIN md ON md.page_key = vt.page_key AND {target} = vt.n WHERE {target} > 1 GROUP BY vt.page_key)"
+
+
+def _row_votes(method: str) -> str:
+    """On columns by ratio: rl(page_key, cuts), the boundaries between rows."""
+    base = f"""{_ratio_votes()},
+{_cuts('bl')},
+cs AS (SELECT p.*, len(list_filter(coalesce(bl.cuts, []::DOUBLE[]), lambda s: p.x > s)) AS c FROM p LEFT JOIN bl USING (page_key)),
+hg0 AS (SELECT *, y0 - lag(y1) OVER hw AS gap, (lag(y1) OVER hw + y0) / 2 AS mid, count(*) OVER (PARTITION BY page_key, c) AS csize FROM cs WINDOW hw AS (PARTITION BY page_key, c ORDER BY y0, ord)),
+hh AS (SELECT page_key, c, greatest(3.0, least(avg(y1 - y0) FILTER (WHERE y1 > y0), 30.0)) * 0.1 AS t FROM cs GROUP BY page_key, c),
+hg AS (SELECT hg0.*, hh.t FROM hg0 JOIN hh USING (page_key, c) WHERE csize >= 2)"""
+    if method == "consensus":
+        return f"""{base},
+act AS (SELECT page_key, count(DISTINCT c) AS n FROM hg GROUP BY page_key HAVING count(DISTINCT c) >= 2),
+mp AS (SELECT hg.page_key, mid, c, ord, act.n, mid - lag(mid) OVER (PARTITION BY hg.page_key ORDER BY mid, c, ord) AS step, greatest(3.0, ra.v * 0.4) AS tol FROM hg JOIN act USING (page_key) JOIN ra USING (page_key) WHERE gap > t),
+mr AS (SELECT *, sum(CASE WHEN step < tol THEN 0 ELSE 1 END) OVER (PARTITION BY page_key ORDER BY mid, c, ord ROWS UNBOUNDED PRECEDING) AS run FROM mp),
+rs1 AS (SELECT page_key, run, avg(mid) AS split FROM mr GROUP BY page_key, run, n HAVING count(*) >= greatest(2, floor(n * 0.4)))"""
+    if method == "natural":
+        votes = f"""kl AS (SELECT page_key, c, any_value(csize) AS csize, list_sort(coalesce(list(gap) FILTER (WHERE gap > 0.5), []::DOUBLE[])) AS gs FROM hg GROUP BY page_key, c),
+{_threshold('kt', 'kl', 'page_key, c, csize')},
+rv AS (SELECT hg.page_key, hg.c, any_value(hg.csize) AS csize, count(*) FILTER (WHERE gap > 0.5 AND gap > kt.t AND len(kt.gs) >= 2) + 1 AS n, list(mid ORDER BY y0, ord) FILTER (WHERE gap > 0.5 AND gap > kt.t AND len(kt.gs) >= 2) AS cuts FROM hg JOIN kt USING (page_key, c) GROUP BY hg.page_key, hg.c)"""
+    else:
+        votes = "rv AS (SELECT page_key, c, any_value(csize) AS csize, count(*) FILTER (WHERE gap > t) + 1 AS n, list(mid ORDER BY y0, ord) FILTER (WHERE gap > t) AS cuts FROM hg GROUP BY page_key, c)"
+    return f"""{base},
+{votes},
+rvc AS (SELECT page_key, n, count(*) AS k, min(c) AS first FROM rv GROUP BY page_key, n),
+rm AS (SELECT page_key, arg_max(n, (k, -first)) AS n FROM rvc GROUP BY page_key),
+rl AS (SELECT rv.page_key, arg_max(cuts, (csize, -c)) AS cuts FROM rv JOIN rm ON rm.page_key = rv.page_key AND rm.n = rv.n WHERE rm.n > 1 GROUP BY rv.page_key)"""
+
+
+#: Particles with their row r and column c.
+CELLS = """rr0 AS (SELECT cs.*, CASE WHEN rl.cuts IS NULL THEN rf.g ELSE len(list_filter(rl.cuts, lambda s: cs.y0 > s)) END AS r0, CASE WHEN rl.cuts IS NULL THEN cs.y0 ELSE 0 END AS o0 FROM cs LEFT JOIN rl USING (page_key) JOIN rf USING (page_key, ord)),
+rr AS (SELECT *, dense_rank() OVER (PARTITION BY page_key ORDER BY r0) - 1 AS r FROM rr0)"""
+
+RECEIPTS = (
+    f"""rw AS (
+  SELECT o_orderkey AS page_key, unnest(range(10))::INT AS ord, unnest(['Customer', c_name, 'Balance', {_fixed('c_acctbal', 2)}, 'Date', strftime(o_orderdate, '%Y-%m-%d'), 'Status', o_orderstatus, 'TOTAL', {_fixed('o_totalprice', 2)}]) AS text
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+w AS (SELECT page_key, ord, text, (CASE WHEN ord % 2 = 0 THEN 40 ELSE 200 END)::DOUBLE AS x0, (50 + 20 * (ord // 2))::DOUBLE AS y0, (CASE WHEN ord % 2 = 0 THEN 40 ELSE 200 END + 6 * length(text))::DOUBLE AS x1, (62 + 20 * (ord // 2))::DOUBLE AS y1, 12.0::DOUBLE AS size,
+  (ord // 2)::INT AS line_idx, (1 - ord % 2)::INT AS is_key, ['menu.nm', 'menu.price', 'date', 'sub_total.count', 'total.total_price'][ord // 2 + 1] AS category FROM rw),
+p AS (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, {_type('text', False, False)} AS type FROM w)"""
+)
+PLACES = """pl0 AS (SELECT page_key, round(x, 1) AS px, round(y, 1) AS py, max((entity, spec, value)) AS f FROM facts GROUP BY 1, 2, 3),
+pl AS (SELECT page_key, px, py, f[1] AS entity, f[2] AS spec, f[3] AS value FROM pl0),
+wp AS (SELECT *, round(x, 1) AS px, round(y, 1) AS py, split_part(category, '.', 1) AS label FROM p)"""
+
+ACCURACY = """ba0 AS (SELECT page_key, entity, spec, spec_ord, CASE WHEN x >= 140 AND x <= 540 THEN greatest(0, least(3, ceil((x - 240) / 100)))::INT ELSE -1 END AS c, CASE WHEN y >= 89 AND y <= 89 + 30 * n THEN greatest(0, least(n - 1, ceil((y - 119) / 30.0)))::INT ELSE -1 END AS r
+  FROM facts JOIN (SELECT l_orderkey AS page_key, count(*) AS n FROM lineitem GROUP BY 1) USING (page_key)),
+ec AS (SELECT page_key, entity, c, count(*) AS k, min(spec_ord) AS first FROM ba0 WHERE c >= 0 GROUP BY 1, 2, 3),
+em AS (SELECT page_key, entity, arg_max(c, (k, -first)) AS c FROM ec GROUP BY 1, 2),
+sr AS (SELECT page_key, spec, r, count(*) AS k, min(spec_ord) AS first FROM ba0 WHERE r >= 0 GROUP BY 1, 2, 3),
+sm AS (SELECT page_key, spec, arg_max(r, (k, -first)) AS r FROM sr GROUP BY 1, 2),
+ba AS (SELECT ba0.page_key, count(*) AS n, count(*) FILTER (WHERE ba0.c >= 0 AND em.c = ba0.c) AS co, count(*) FILTER (WHERE ba0.r >= 0 AND sm.r = ba0.r) AS ro, count(*) FILTER (WHERE ba0.c >= 0 AND em.c = ba0.c AND ba0.r >= 0 AND sm.r = ba0.r) AS ce
+  FROM ba0 LEFT JOIN em USING (page_key, entity) LEFT JOIN sm USING (page_key, spec) GROUP BY ba0.page_key)"""
 
 
 def sql() -> dict[str, str]:
@@ -340,4 +395,26 @@ ab AS (SELECT a.page_key, a.ord, arg_min(b.ord, (a.y0 - b.y0, -b.ord)) AS o FROM
 be AS (SELECT a.page_key, a.ord, arg_min(b.ord, (b.y0 - a.y0, b.ord)) AS o FROM p a JOIN p b ON b.page_key = a.page_key AND b.y0 - a.y0 > 0 AND b.y0 - a.y0 <= 100 AND abs(a.x - b.x) < 30 GROUP BY 1, 2)
 SELECT lr.page_key, lr.ord, "left", "right", ab.o AS above, be.o AS below FROM lr LEFT JOIN ab USING (page_key, ord) LEFT JOIN be USING (page_key, ord)""",
     }
+    body = f"WITH RECURSIVE {BODY},\n{ROWS}"
+    receipts = f"WITH RECURSIVE {RECEIPTS},\n{SENSED},\n{BOUND},\n{FACTS},\n{PLACES}"
+    crystal_x = _boundary("x").replace("mk AS (", f"{CRYSTAL},\nmk AS (").replace("gt.t <= gt.gs[len(gt.gs)] AND gp.gap > gt.t AS p", "CASE WHEN gt.t <= gt.gs[len(gt.gs)] THEN gp.gap > gt.t ELSE EXISTS (SELECT 1 FROM cry WHERE cry.page_key = gp.page_key AND gp.l < cry.pos AND cry.pos < gp.r) END AS p")
+    y_only = _boundary("y")
+    out |= {
+        "boundary_x_crystal": f"WITH RECURSIVE {crystal_x} SELECT * FROM bc",
+        "boundary_scores": f"WITH RECURSIVE {crystal_x}, t AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn, sum(fn)::BIGINT AS fn, sum(total)::BIGINT AS total FROM bc) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + tn) / total, 6) AS accuracy FROM t",
+        "boundary_both": f"WITH bx AS (WITH RECURSIVE {_boundary('x')} SELECT * FROM bc), byy AS (WITH RECURSIVE {y_only} SELECT * FROM bc) SELECT page_key, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn, sum(fn)::BIGINT AS fn, sum(total)::BIGINT AS total FROM (SELECT * FROM bx UNION ALL SELECT * FROM byy) GROUP BY page_key",
+        "row_splits_fixed": f"{rows}, {_row_votes('fixed')} SELECT page_key, unnest(cuts) AS split FROM rl",
+        "row_splits_natural": f"{rows}, {_row_votes('natural')} SELECT page_key, unnest(cuts) AS split FROM rl",
+        "row_splits_consensus": f"{rows}, {_row_votes('consensus')} SELECT page_key, split FROM rs1",
+        "pred_cells": f"{rows}, {_row_votes('fixed')}, {CELLS}, sz AS (SELECT rr.page_key, max(r) + 1 AS n_rows, any_value(len(coalesce(bl.cuts, []::DOUBLE[]))) + 1 AS n_cols FROM rr LEFT JOIN bl USING (page_key) GROUP BY rr.page_key), cl AS (SELECT page_key, r, unnest(range(n_cols)) AS c FROM (SELECT page_key, n_cols, unnest(range(n_rows)) AS r FROM sz)), tx AS (SELECT page_key, r, c, string_agg(text, ' ' ORDER BY o0, ord) AS text FROM rr GROUP BY page_key, r, c) SELECT cl.page_key, cl.r::INT AS row, cl.c::INT AS col, coalesce(tx.text, '') AS text FROM cl LEFT JOIN tx ON tx.page_key = cl.page_key AND tx.r = cl.r AND tx.c = cl.c",
+        "structure_scores": f"{body}, {_row_votes('fixed')}, {CELLS}, sz AS (SELECT rr.page_key, max(r) + 1 AS pr, any_value(len(coalesce(bl.cuts, []::DOUBLE[]))) + 1 AS pc, max(n) AS gr FROM rr LEFT JOIN bl USING (page_key) JOIN (SELECT l_orderkey AS page_key, count(*) AS n FROM lineitem GROUP BY 1) USING (page_key) GROUP BY rr.page_key HAVING count(*) >= 3), sc AS (SELECT page_key, gr, pr, pc, least(gr, pr) * least(4, pc) / (pr * pc) AS pp, least(gr, pr) * least(4, pc) / (gr * 4) AS rec FROM sz) SELECT page_key, gr::INT AS gt_rows, 4 AS gt_cols, pr::INT AS pred_rows, pc::INT AS pred_cols, round(CASE WHEN pp + rec > 0 THEN 2 * pp * rec / (pp + rec) ELSE 0 END, 6) AS top, round(pp, 6) AS top_precision, round(rec, 6) AS top_recall, pc = 4 AS col_exact, pr = gr AS row_exact FROM sc",
+        "bond_accuracy": f"{facts}, {ACCURACY}, mp2 AS (SELECT page_key, count(spec) AS m, count(*) AS n FROM bonds GROUP BY 1) SELECT s.page_key, coalesce(ba.n, 0)::INT AS n_bonds, round(coalesce(co / ba.n, 0), 6) AS col_acc, round(coalesce(ro / ba.n, 0), 6) AS row_acc, round(coalesce(ce / ba.n, 0), 6) AS cell_acc, round(CASE WHEN ba.n > 0 THEN mp2.m / mp2.n ELSE 0 END, 6) AS coverage FROM (SELECT DISTINCT page_key FROM p) s LEFT JOIN ba USING (page_key) LEFT JOIN mp2 USING (page_key)",
+        "k_sweep": f"WITH RECURSIVE {BODY}, {ROWS}, {_gaps('rf', 'x')}, wd AS (SELECT p.page_key, f.g, avg(x1 - x0) AS m FROM p JOIN rf f USING (page_key, ord) GROUP BY p.page_key, f.g), ks AS (SELECT unnest([0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5])::DOUBLE AS k), vt AS (SELECT gp.page_key, gp.g, ks.k, any_value(size) AS size, count(*) FILTER (WHERE gap > m * k) + 1 AS n FROM gp JOIN wd USING (page_key, g), ks GROUP BY gp.page_key, gp.g, ks.k), vc AS (SELECT page_key, k, n, count(*) AS c, min(g) AS first FROM vt GROUP BY page_key, k, n), md AS (SELECT page_key, k, arg_max(n, (c, -first)) AS n FROM vc GROUP BY page_key, k) SELECT k, count(*) AS pages, count(*) FILTER (WHERE n = 4) AS exact FROM md GROUP BY k",
+        "text_page_types": f"WITH x AS (SELECT lang, unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS text FROM documents), c AS (SELECT lang, text, count(*) AS n FROM x GROUP BY 1, 2) SELECT lang, {_type('text', True, False)} AS type, sum(n)::BIGINT AS n FROM c GROUP BY 1, 2",
+        "label_purity": f"{receipts} SELECT label, count(*) AS total, count(*) FILTER (WHERE wp.type = 'NUMERIC') AS numeric, count(pl.page_key) AS bonded FROM wp LEFT JOIN pl ON pl.page_key = wp.page_key AND pl.px = wp.px AND pl.py = wp.py GROUP BY label",
+        "entity_purity": f"{receipts}, lc AS (SELECT facts.page_key, facts.entity, label, count(*) AS n FROM facts JOIN wp ON wp.page_key = facts.page_key AND wp.px = round(facts.x, 1) AND wp.py = round(facts.y, 1) GROUP BY 1, 2, 3), be AS (SELECT page_key, entity, max(n) AS best, sum(n) AS n FROM lc GROUP BY 1, 2) SELECT sum(best)::BIGINT AS correct, sum(n)::BIGINT AS total FROM be",
+        "link_eval": f"{receipts}, nm AS (SELECT page_key, lower(text) AS name, list(DISTINCT ord) AS ids, max((is_key = 1)::INT) = 1 AS q FROM p GROUP BY 1, 2), lk AS (SELECT k.page_key, k.ord AS from_id, v.type = 'NUMERIC' AS numeric, pl.entity, pl.spec FROM wp k JOIN wp v ON v.page_key = k.page_key AND v.ord = k.ord + 1 LEFT JOIN pl ON pl.page_key = v.page_key AND pl.px = v.px AND pl.py = v.py WHERE k.is_key = 1) SELECT count(*) AS links, count(*) FILTER (WHERE spec IS NOT NULL AND (coalesce(e.q, false) OR coalesce(s.q, false))) AS spatial, count(*) FILTER (WHERE spec IS NOT NULL AND (coalesce(list_contains(e.ids, from_id), false) OR coalesce(list_contains(s.ids, from_id), false))) AS bond, count(*) FILTER (WHERE spec IS NULL AND NOT numeric) AS unreachable FROM lk LEFT JOIN nm e ON e.page_key = lk.page_key AND e.name = lower(lk.entity) LEFT JOIN nm s ON s.page_key = lk.page_key AND s.name = lower(lk.spec)",
+        "field_presence": f"{receipts}, nw AS (SELECT wp.*, trim(regexp_replace(lower(text), '[^\\pL\\pN_\\s.]', '', 'g')) AS nt, pl.page_key IS NOT NULL AS bound FROM wp LEFT JOIN pl ON pl.page_key = wp.page_key AND pl.px = wp.px AND pl.py = wp.py), fv AS (SELECT page_key, CASE line_idx WHEN 0 THEN 'company' WHEN 2 THEN 'date' ELSE 'total' END AS field, nt AS v FROM nw WHERE is_key = 0 AND line_idx IN (0, 2, 4)), fm2 AS (SELECT fv.page_key, fv.field, count(*) AS matched, bool_or(nw.type = 'NUMERIC') AS reachable, bool_or(bound) AS present FROM fv JOIN nw ON nw.page_key = fv.page_key AND CASE fv.field WHEN 'total' THEN nw.nt = v WHEN 'date' THEN length(nw.nt) >= 4 AND (contains(v, nw.nt) OR contains(nw.nt, v)) ELSE length(nw.nt) >= 3 AND nw.nt = v END GROUP BY 1, 2) SELECT fv.field, count(*) AS receipts, sum(coalesce(matched, 0))::BIGINT AS matched, count(*) FILTER (WHERE reachable) AS reachable, count(*) FILTER (WHERE present) AS present FROM fv LEFT JOIN fm2 USING (page_key, field) GROUP BY 1",
+        "column_counts": f"{rows}, {_ratio_votes()}, al AS (SELECT page_key, list_sort(list(gap)) AS gs FROM gp WHERE gap > 0 GROUP BY page_key), {_threshold('gg', 'al', 'page_key')}, {_threshold('lt', 'gl', 'page_key, g')}, ws AS (SELECT p.page_key, f.g, median(x1 - x0) FILTER (WHERE x1 > x0) AS mw FROM p JOIN rf f USING (page_key, ord) GROUP BY 1, 2), th AS (SELECT lt.page_key, lt.g, len(lt.gs) AS np, CASE WHEN len(lt.gs) >= 3 THEN CASE WHEN lt.t <= lt.gs[len(lt.gs)] THEN lt.t WHEN gg.t <= lt.gs[len(lt.gs)] THEN gg.t WHEN list_median(lt.gs) > coalesce(mw, 10.0) * 0.5 THEN lt.gs[1] - 0.1 ELSE lt.gs[len(lt.gs)] + 1 END ELSE gg.t END AS t FROM lt JOIN gg USING (page_key) JOIN ws USING (page_key, g)), mv AS (SELECT gp.page_key, gp.g, CASE WHEN any_value(np) = 0 THEN 1 ELSE count(*) FILTER (WHERE gap > th.t) + 1 END AS n FROM gp JOIN th USING (page_key, g) GROUP BY 1, 2), mc AS (SELECT page_key, n, count(*) AS c, min(g) AS first FROM mv GROUP BY 1, 2), mj AS (SELECT page_key, arg_max(n, (c, -first)) AS n FROM mc GROUP BY 1), tx0 AS (SELECT page_key, x, ord, CASE WHEN x - lag(x) OVER (PARTITION BY page_key ORDER BY x, ord) < 20 THEN 0 ELSE 1 END AS b FROM p WHERE type IN ('NUMERIC', 'SPEC_LABEL', 'MODEL', 'SIZE_HEADER', 'KW_HEADER', 'UNIT')), tx1 AS (SELECT page_key, sum(b) OVER (PARTITION BY page_key ORDER BY x, ord ROWS UNBOUNDED PRECEDING) AS run FROM tx0), tx2 AS (SELECT page_key, run, count(*) AS c FROM tx1 GROUP BY 1, 2), ty AS (SELECT page_key, count(*) FILTER (WHERE c >= 2) AS n FROM tx2 GROUP BY 1) SELECT md.page_key, md.n::INT AS ratio, mj.n::INT AS maxjump, coalesce(ty.n, 0)::INT AS typed FROM md JOIN mj USING (page_key) LEFT JOIN ty USING (page_key)",
+    }
     return out
