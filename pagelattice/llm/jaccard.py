@@ -1,10 +1,12 @@
 """Documents linked by the Jaccard similarity of their word shingles, without loss.
 
 Copies with equal sets become one class. A class that links with another shares tokens with it among its first ones in
-an order that both follow (rare tokens first): with n tokens, at least L of its first n - ceil(0.8 n) + L. So classes
-without that many tokens that any other class has among its first ones are done. The rest fall into clusters that share
-such tokens, and each cluster is joined by a signature tree in one task; a cluster with more tokens than fit a task is
-cut into blocks, and each two blocks are joined. The order of tokens comes from a bounded sample; any order is right.
+any order that both follow: with n tokens, at least L of its first n - ceil(0.8 n) + L. So classes without that many
+tokens that any other class has among its first ones are done. The rest fall into clusters that share such tokens. The
+order puts frequent tokens last, as far as a bounded sample knows them; clusters that are large all the same are sorted
+out once more in the order of their tokens' exact frequency, which parts classes that only share passages. Each cluster
+is joined by a signature tree in one task; one with more tokens than fit a task, which is a group of near copies then,
+is cut into blocks, and each two blocks are joined.
 """
 
 from __future__ import annotations
@@ -14,24 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions_for, stored
 from .components import components
 
 K, PERCENT = 5, 80
-#: Documents of the sample that frequent tokens are looked for in, in how many of those a frequent one is, and how many
-#: of them are kept at most. They steer the order of tokens, never the result.
-SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 8, 100_000
-#: Tokens of a cluster's block that one task holds.
-BLOCK_TOKENS = 3_000_000
+#: One in how many documents the sample is made of that frequent tokens are looked for in, its documents at most, in how
+#: many of those a frequent token is, and how many of them are kept at most. They steer the order of tokens and how they
+#: are counted, never the result.
+ONE_IN, SAMPLE, FREQUENT, MOST_FREQUENT = 12, 50_000, 4, 100_000
+#: Tokens from which on a cluster is sorted out once more; tokens of a cluster's block that one task holds.
+LARGE_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
 #: Bits of the filter that spares most documents the way to the clusters.
 FILTER_BITS = 23
 
 
 def _extra(n):
-    return 1 + n // 25
+    """L for a set of n tokens."""
+    return 1 + n // 12
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -39,59 +43,106 @@ def _class(tokens: np.ndarray) -> int:
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Tokens in many documents of a sample of SAMPLE documents by hash; MOST_FREQUENT at most."""
+    """Tokens in many documents of a bounded sample by hash, sorted; MOST_FREQUENT at most. Only those
+    of the lower half of hashes are counted: the others are hardly ever among a set's first ones."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import shingle_sets
 
         for batch in batches:
-            for some in shingle_sets(batch.column(0).to_pylist(), K):
-                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], ["token"])
+            for at in range(0, batch.num_rows, 128):
+                got = np.concatenate(shingle_sets(batch.slice(at, 128).column(0).to_pylist(), K))
+                yield pa.RecordBatch.from_arrays([pa.array(got[got < 1 << 63].view(np.int64))], ["token"])
 
     rows = docs.count()
     if not rows:
         return np.zeros(0, np.uint64)
-    share = max(1, rows // SAMPLE)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == 0).select("text").distinct()
+    share = max(ONE_IN, rows // SAMPLE)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == 0).select("text")
     often = sample.mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
     top = often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token")
     return np.sort(np.array(top, np.int64).view(np.uint64))
 
 
 def described(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, n (tokens), cls (hash of the set), first (its first tokens in the common order), for every row."""
+    """doc_id, n (tokens), cls (hash of the set), first and last (the rare and the frequent ones of its first tokens), for
+    every row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import shingle_sets
 
+        def lists(of: list[np.ndarray]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in of]), pa.int32()), pa.array(np.concatenate(of)))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sizes, classes, firsts = [], [], []
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sizes, classes, firsts, lasts = [], [], [], []
                 for some in shingle_sets(part.column(1).to_pylist(), K):
                     n = len(some)
                     sizes.append(n)
                     classes.append(_class(some) if n else None)
                     most = n - -(-PERCENT * n // 100) + _extra(n) if n else 0
+                    known = np.zeros(n, bool)
                     if len(often) and n:
                         known = often[np.minimum(np.searchsorted(often, some), len(often) - 1)] == some
-                        some = np.concatenate([some[~known], some[known]])
-                    firsts.append(some[:most].view(np.int64))
-                ends = np.cumsum([0] + [len(x) for x in firsts])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "n", "cls", "first"])
+                    rare = some[~known][:most]
+                    firsts.append(rare.view(np.int64))
+                    lasts.append(some[known][: most - len(rare)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(firsts), lists(lasts)], ["doc_id", "n", "cls", "first", "last"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n long, cls long, first array<long>, last array<long>")
+
+
+def _met(rare: DataFrame, often: DataFrame) -> DataFrame:
+    """cls, token of rare and of frequent tokens -> cls, token, df (rows with the token), near (its least class), of
+    tokens that several classes have.
+
+    Rare tokens meet by one exchange and are few for each token; the frequent ones, MOST_FREQUENT at most, which hold the
+    hot groups, are counted by an aggregate that is broadcast back."""
+    of = Window.partitionBy("token")
+    met = rare.select("cls", "token", F.count(F.lit(1)).over(of).alias("df"), F.min("cls").over(of).alias("near"), F.max("cls").over(of).alias("far")).filter("near < far").drop("far")
+    counts = often.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("near"), F.max("cls").alias("far")).filter("near < far").drop("far")
+    return met.unionByName(often.join(F.broadcast(counts), "token").select("cls", "token", "df", "near"))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n long, cls long, first array<long>")
+def _enough(hits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """hits: cls, token, near; sizes: cls, n -> cls, n, with, of the classes with as many hits as a link calls for: the
+    partner may be smaller by a fifth."""
+    hits = hits.groupBy("cls", "token").agg(F.min("near").alias("near")).groupBy("cls").agg(F.count(F.lit(1)).alias("hits"), F.collect_set("near").alias("with"))
+    return hits.join(sizes, "cls").filter(F.col("hits") >= 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) / 12)).select("cls", "n", "with")
 
 
 def _suspects(rows: DataFrame) -> DataFrame:
-    """cls, n, with: of the classes that share enough of their first tokens with others, the least class of each such token."""
-    tokens = rows.select("cls", "n", F.explode("first").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("token", F.col("low").alias("near"))
-    hits = tokens.join(shared, "token").groupBy("cls", "n", "token").agg(F.min("near").alias("near"))
-    hits = hits.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("hits"), F.collect_set("near").alias("with"))
-    least = F.ceil(F.col("n") * PERCENT / 100)
-    return hits.filter(F.col("hits") >= 1 + F.floor(least / 25)).select("cls", "n", "with")
+    """cls, n, with: the classes that share enough of their first tokens with others."""
+    hits = _met(rows.select("cls", F.explode("first").alias("token")), rows.select("cls", F.explode("last").alias("token")))
+    return _enough(hits, rows.groupBy("cls").agg(F.min("n").alias("n")))
+
+
+def _sorted_out(members: DataFrame, docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """members: cls, n, doc_id of large clusters -> cls, n, with, by their first tokens in the order of exact frequency
+    among the members. A set's tokens that no other member has come first of all, and are only counted."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .shingles import shingle_sets
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                for cls, some in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), K), strict=True):
+                    if _class(some) == cls:
+                        known = often[np.minimum(np.searchsorted(often, some), len(often) - 1)] == some if len(often) else np.zeros(len(some), bool)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cls)), pa.array(some.view(np.int64)), pa.array(known)], ["cls", "token", "known"])
+
+    every = stored(_texts_of(members, docs).select("cls", "text").mapInArrow(tokens, "cls long, token long, known boolean"), "jaccard-tokens")
+    met = _met(every.filter("not known").select("cls", "token"), every.filter("known").select("cls", "token"))
+    by_class = met.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("ts")).join(members.select("cls", "n").distinct(), "cls")
+    extra = 1 + F.floor(F.col("n") / 12)
+    most = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + extra - (F.col("n") - F.size("ts"))
+    first = by_class.select("cls", F.explode(F.slice("ts", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))).alias("t")).select("cls", "t.token")
+    first = stored(first, "jaccard-first")
+    near = first.groupBy("token").agg(F.min("cls").alias("near"), F.max("cls").alias("far")).filter("near < far").drop("far")
+    return _enough(first.join(near, "token"), members.select("cls", "n").distinct())
 
 
 def _filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,6 +156,13 @@ def _filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.filter(F.expr("true") & (F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1)).drop("__h", "__bucket", "__bits")
 
 
+def _texts_of(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """members (doc_id, ...) with their texts. A doc_id may stand beside several texts; who reads them tells by the class."""
+    named = members.withColumnRenamed("doc_id", "__doc")
+    texts = _filtered(docs, members)
+    return texts.join(named, texts["doc_id"].eqNullSafe(F.col("__doc"))).drop("__doc", "doc_id")
+
+
 def _join_clusters(rows: DataFrame) -> DataFrame:
     """rows: task (long), side (int or null), cls, text. Returns a, b: each linked class beside its task's least one."""
 
@@ -127,8 +185,8 @@ def _join_clusters(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["a", "b"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 task, side, cls = (part.column(k).to_pylist() for k in range(3))
                 for t, s, c, some in zip(task, side, cls, shingle_sets(part.column(3).to_pylist(), K), strict=True):
                     if t != now:
@@ -144,19 +202,24 @@ def _join_clusters(rows: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, n, cls) of every row of docs, and links (a, b) that join linked classes, directly or by others."""
     docs = docs.select("doc_id", "text")
-    rows = stored(described(docs, frequent_tokens(docs)), "jaccard-rows")
-    suspects = stored(_suspects(rows.filter("n > 0")), "jaccard-suspects")
-    clusters = components(suspects.select(F.col("cls").alias("a"), F.explode("with").alias("b")))
-    members = suspects.select("cls", "n").join(clusters, suspects["cls"] == clusters["node"]).select("cls", "n", F.col("comp").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    members = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int"))
+    often = frequent_tokens(docs)
+    rows = stored(described(docs, often), "jaccard-rows")
     one = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    members = stored(members.join(one, "cls").select("cls", "cluster", "blocks", "doc_id"), "jaccard-members")
-    several = members.filter("blocks > 1").limit(1).count() > 0
 
-    texts = _filtered(docs, members)
-    named = members.withColumnRenamed("doc_id", "__doc")
-    rows_of = texts.join(named, texts["doc_id"].eqNullSafe(F.col("__doc"))).select("cls", "cluster", "blocks", "text")
+    def clustered(suspects: DataFrame) -> DataFrame:
+        """cls, n, with -> cls, n, doc_id, cluster, tokens of the cluster; clusters of one class are left out."""
+        clusters = components(suspects.select(F.col("cls").alias("a"), F.explode("with").alias("b")))
+        members = suspects.select("cls", "n").join(clusters, suspects["cls"] == clusters["node"]).select("cls", "n", F.col("comp").alias("cluster"))
+        sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+        return stored(members.join(sizes, "cluster").join(one, "cls"), "jaccard-members")
+
+    members = clustered(stored(_suspects(rows.filter("n > 0")), "jaccard-suspects"))
+    large = members.filter(F.col("tokens") > LARGE_TOKENS)
+    if large.limit(1).count():
+        members = members.filter(F.col("tokens") <= LARGE_TOKENS).unionByName(clustered(stored(_sorted_out(large.select("cls", "n", "doc_id"), docs, often), "jaccard-suspects")))
+    members = members.select("cls", "cluster", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"), "doc_id")
+    several = members.filter("blocks > 1").limit(1).count() > 0
+    rows_of = _texts_of(members, docs)
     if not several:
         tasks = rows_of.select(F.col("cluster").alias("task"), F.lit(None).cast("int").alias("side"), "cls", "text")
     else:

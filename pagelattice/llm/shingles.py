@@ -56,7 +56,7 @@ def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], k: int = 5, piece: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int = 5, piece: int = 1 << 18) -> list[np.ndarray]:
     """Each text's distinct shingles of k words, sorted by hash; with fewer words the whole text is one; null has none."""
     out: list[np.ndarray] = []
     held: list[bytes] = []

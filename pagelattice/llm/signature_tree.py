@@ -42,18 +42,17 @@ class Forest:
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A bitmap of each set. Tokens that one set alone has get no bit: they can't be common. With few other tokens every
     one has its own bit, else they are folded."""
-    tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    place = np.cumsum(shared) - 1
-    n = int(shared.sum())
-    bits = min(MOST_BITS, max(64, -(-n // 64) * 64))
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    on = shared[inverse]
+    every = np.sort(np.concatenate(sets))
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    bits = min(MOST_BITS, max(64, -(-len(shared) // 64) * 64))
     maps = np.zeros((len(sets), bits // 8), np.uint8)
-    at = place[inverse[on]] % bits
-    np.bitwise_or.at(maps, (rows[on], at // 8), (1 << (at % 8)).astype(np.uint8))
-    common = np.bincount(rows[on], minlength=len(sets))
+    common = np.zeros(len(sets), np.int64)
+    for k, s in enumerate(sets):
+        at = np.searchsorted(shared, s)
+        at = at[shared[np.minimum(at, len(shared) - 1)] == s] if len(shared) else at[:0]
+        common[k] = len(at)
+        np.bitwise_or.at(maps[k], at % bits // 8, (1 << (at % 8)).astype(np.uint8))
     return maps.view(np.uint64), common
 
 
@@ -83,8 +82,8 @@ def linked(sets: list[np.ndarray], percent: int = 80, both: np.ndarray | None =
 
     def check(i: np.ndarray, j: np.ndarray) -> None:
         """Join the pairs that link."""
-        for at in range(0, len(i), 8192):
-            a, b = i[at : at + 8192], j[at : at + 8192]
+        for at in range(0, len(i), 4096):
+            a, b = i[at : at + 4096], j[at : at + 4096]
             root = forest.roots()
             apart = root[a] != root[b]
             a, b = a[apart], b[apart]
@@ -128,9 +127,9 @@ def linked(sets: list[np.ndarray], percent: int = 80, both: np.ndarray | None =
             check(order[a], order[b])
             return
         below = len(levels[level - 1][1])
-        for at in range(0, len(a), 256):
-            x = a[at : at + 256, None, None] * FAN + np.arange(FAN)[:, None]
-            y = b[at : at + 256, None, None] * FAN + np.arange(FAN)
+        for at in range(0, len(a), 32):
+            x = a[at : at + 32, None, None] * FAN + np.arange(FAN)[:, None]
+            y = b[at : at + 32, None, None] * FAN + np.arange(FAN)
             x, y = (v.ravel() for v in np.broadcast_arrays(x, y))
             ok = (x < below) & (y < below) & ((x < y) | ((x == y) & (level > 1)))
             walk(level - 1, x[ok], y[ok])
