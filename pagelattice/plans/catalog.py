@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expr, typing
 from ..operators import alignment, assemble, diffusion, evaluate, field, grid, sense
 from ..sources import rendered
+from . import catalogue
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -462,6 +463,19 @@ def diffusion_types(spark, d):
     return out.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def diffusion_far_types(spark, d):
+    out = sense.unpacked(diffusion.diffused_far(grid_pages(spark, d)).select("page_key", "ps"))
+    return out.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def catalogue_stats(spark, d):
+    """A whole catalogue run over rendered pages, twelve a document, without its files."""
+    words = grid_words(spark, d).withColumns({"doc_id": F.floor(F.col("page_key") / 12), "page": (F.col("page_key") % 12 + 1).cast("int")})
+    return catalogue.run(words, "hitachi")["stats"]
+
+
 @query
 def iou(spark, d):
     """Intersection over union of each value's box with its true cell's."""

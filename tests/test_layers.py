@@ -27,7 +27,7 @@ def test_the_small_table(spark):
 
 def test_moving_a_page_changes_no_fact(spark):
     key = lambda rows: sorted((r.entity, r.spec, r.value, r.phi_spec) for r in field.fact_rows(field.bonds(sense.sensed(pages(spark, rows)))).collect())
-    assert key(TABLE) == key([(t, x + 1000, y + 700) for t, x, y in TABLE])
+    assert key(TABLE) == key([(t, x + 1000, y + 720) for t, x, y in TABLE])
 
 
 def test_pages_without_enough(spark):
@@ -53,10 +53,10 @@ def test_lonely_numbers_are_text_again(spark):
 
 
 def test_labels_on_two_lines_become_one(spark):
-    rows = [("Sound", 50, 100), ("pressure level", 60, 107), ("55", 200, 103), ("58", 300, 103), ("Weight", 50, 140), ("25", 200, 140), ("30", 300, 140)]
+    rows = [("Sound", 50, 100), ("pressure level", 60, 107), ("55", 200, 107), ("58", 300, 107), ("Weight", 50, 140), ("25", 200, 140), ("30", 300, 140)]
     typed = particles(words(spark, rows)).withColumn("type", F.when(F.col("x") < 100, "SPEC_LABEL").otherwise(F.col("type")))
     merged = sense.unpacked(sense.pages(typed).withColumn("ps", field.merged_labels(F.col("ps"))))
-    assert [r.text for r in merged.filter("type = 'SPEC_LABEL'").orderBy("ord").collect()] == ["Weight", "Sound"] or "Sound pressure level" in [r.text for r in merged.collect()]
+    assert [r.text for r in merged.filter("type = 'SPEC_LABEL'").orderBy("ord").collect()] == ["Weight", "Sound pressure level"]
 
 
 def test_a_number_between_keeps_labels_apart(spark):

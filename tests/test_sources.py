@@ -60,7 +60,7 @@ def test_sinks(spark, tmp_path):
     chunks = spark.createDataFrame([(1, 1, 0, "S", "a"), (1, 1, 1, "T", "b"), (1, 2, 0, "S", "c")], "doc_id long, page int, chunk int, section string, text string")
     assert sinks.chunk_lines(chunks).first()["value"] == "<!-- page 1 -->\n\n## S\n\na\n\n## T\n\nb\n\n<!-- page 2 -->\n\n## S\n\nc"
     sinks.write_markdown(chunks, str(tmp_path / "md"))
-    assert spark.read.text(str(tmp_path / "md")).count() == 13
+    assert spark.read.text(str(tmp_path / "md")).count() == 15
     sinks.write_rows(chunks, str(tmp_path / "rows"))
     assert spark.read.json(str(tmp_path / "rows")).count() == 3
 
@@ -89,6 +89,28 @@ def test_diffusion(spark):
     assert kinds["COP"] == "SPEC_LABEL" and kinds["Model-A"] == "MODEL" and kinds["25"] == "NUMERIC"
 
 
+def test_diffusion_by_chains(spark):
+    rows = sense.pages(particles(words(spark, TABLE)))
+    adj = rows.select(diffusion.numbers_below(diffusion.adjacency(F.col("ps")))).first()[0]
+    assert adj == [3, 3, 0, 2, 2, 0, 1, 1, 0, 0, 0]
+    kinds = {r.text: r.type for r in sense.unpacked(diffusion.diffused_far(rows).select("page_key", "ps")).collect()}
+    assert kinds["COP"] == kinds["Peso"] == "SPEC_LABEL" and kinds["Model-B"] == "MODEL" and kinds["4.50"] == "NUMERIC"
+
+
+def test_a_catalogue(spark, tmp_path):
+    from pagelattice.plans import catalogue
+
+    rows = TABLE + [(f"more words {k}", 500, 300 + 40 * k) for k in range(8)]
+    pages = [words(spark, rows, page=k).withColumns({"doc_id": F.lit("d"), "page": F.lit(k)}) for k in (1, 2)]
+    pages[0].unionByName(pages[1]).write.parquet(str(tmp_path / "in"))
+    found = catalogue.run(spark.read.parquet(str(tmp_path / "in")), "hitachi", domain=False)
+    s = found["stats"].first()
+    assert (s.pages, s.technical, s.merged_pages, s.nodes, s.properties) == (2, 2, 1, 2, 6)
+    assert found["rows"].count() == 6 and {r.page for r in found["rows"].collect()} == {1}
+    catalogue.write(found, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "graph")).count() == 2 and spark.read.json(str(tmp_path / "rows")).count() == 6
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = sense.pages(particles(words(spark, TABLE)).unionByName(particles(words(spark, TABLE, page=2))))
     rows.repartition(2).write.parquet(str(tmp_path / "in"))
