@@ -350,7 +350,8 @@ def structure_scores(spark, d):
 
 @query
 def structure_strata(spark, d):
-    return evaluate.strata(evaluate.structure(truth_pages(spark, d)))
+    s = evaluate.strata(evaluate.structure(truth_pages(spark, d)))
+    return s.withColumns({c: F.round(c, 6) for c in ("top", "col_exact", "row_exact")})
 
 
 @query
@@ -418,7 +419,8 @@ def receipt_levels(spark, d):
 
 @query
 def receipt_rollup(spark, d):
-    return evaluate.category_rollup(evaluate.receipt_levels(*_receipts(spark, d)))
+    r = evaluate.category_rollup(evaluate.receipt_levels(*_receipts(spark, d)))
+    return r.withColumn("recall", F.round("recall", 6))
 
 
 @query
