@@ -95,7 +95,9 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: i
     start = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
     drawn = drawn.withColumn("start", start).join(sources.select("sid", "quota"), "sid")
     drawn = stored(drawn.withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("start")))), "mix-draws")
-    kept = drawn.filter("keep > 0").select("shard", "sid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("keep") - 1)).alias("i"))
+    # Few rows become many slots below: they are dealt out evenly first.
+    dealt = drawn.filter("keep > 0").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "sid")
+    kept = dealt.select("shard", "sid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("keep") - 1)).alias("i"))
     # Slots drawn beyond a source's quota, which only the last shards have, go to the sources that lack some.
     over = drawn.filter("n > keep").select("shard", "sid", (F.col("n") - F.col("keep")).alias("n"))
     over = over.withColumn("e", F.sum("n").over(Window.orderBy("shard", "sid")) - F.col("n"))
