@@ -37,6 +37,8 @@ class Rule:
 RULES = (Rule("symbols", 0.03), Rule("word_length", 0.6, both=True), Rule("shouting", 0.08), Rule("dup_lines", 0.25), Rule("repeats", 0.2))
 #: Quartile distances above the upper quartile; documents that a group needs for cut-offs of its own.
 DISTANCES, LEAST_ROWS = 3.0, 100
+#: Groups whose cut-offs are broadcast at most, some 100 bytes each.
+MOST_GROUPS = 50_000
 
 
 def _covered(words: Column) -> Column:
@@ -130,6 +132,9 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
 def judged(rows: DataFrame, cuts: DataFrame, column: str = "__q") -> DataFrame:
     """rows with a column __kept. Short documents get more slack: their ratios vary more."""
     cuts = cuts.withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    # A row for each language and source: broadcast if there are few, by count; else joined by key, hot ones split by AQE.
+    cuts = stored(cuts, "quality-cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= MOST_GROUPS else cuts
     joined = rows.join(cuts, rows["lang"].eqNullSafe(cuts["__lang"]) & rows["source"].eqNullSafe(cuts["__source"]), "left")
     q = F.col(column)
     more = 1 + 5 / F.sqrt(F.greatest(q["n_words"], F.lit(1)))
