@@ -417,6 +417,24 @@ SELECT lr.page_key, lr.ord, "left", "right", ab.o AS above, be.o AS below FROM l
         "field_presence": f"{receipts}, nw AS (SELECT wp.*, trim(regexp_replace(lower(text), '[^\\pL\\pN_\\s.]', '', 'g')) AS nt, pl.page_key IS NOT NULL AS bound FROM wp LEFT JOIN pl ON pl.page_key = wp.page_key AND pl.px = wp.px AND pl.py = wp.py), fv AS (SELECT page_key, CASE line_idx WHEN 0 THEN 'company' WHEN 2 THEN 'date' ELSE 'total' END AS field, nt AS v FROM nw WHERE is_key = 0 AND line_idx IN (0, 2, 4)), fm2 AS (SELECT fv.page_key, fv.field, count(*) AS matched, bool_or(nw.type = 'NUMERIC') AS reachable, bool_or(bound) AS present FROM fv JOIN nw ON nw.page_key = fv.page_key AND CASE fv.field WHEN 'total' THEN nw.nt = v WHEN 'date' THEN length(nw.nt) >= 4 AND (contains(v, nw.nt) OR contains(nw.nt, v)) ELSE length(nw.nt) >= 3 AND nw.nt = v END GROUP BY 1, 2) SELECT fv.field, count(*) AS receipts, sum(coalesce(matched, 0))::BIGINT AS matched, count(*) FILTER (WHERE reachable) AS reachable, count(*) FILTER (WHERE present) AS present FROM fv LEFT JOIN fm2 USING (page_key, field) GROUP BY 1",
         "column_counts": f"{rows}, {_ratio_votes()}, al AS (SELECT page_key, list_sort(list(gap)) AS gs FROM gp WHERE gap > 0 GROUP BY page_key), {_threshold('gg', 'al', 'page_key')}, {_threshold('lt', 'gl', 'page_key, g')}, ws AS (SELECT p.page_key, f.g, median(x1 - x0) FILTER (WHERE x1 > x0) AS mw FROM p JOIN rf f USING (page_key, ord) GROUP BY 1, 2), th AS (SELECT lt.page_key, lt.g, len(lt.gs) AS np, CASE WHEN len(lt.gs) >= 3 THEN CASE WHEN lt.t <= lt.gs[len(lt.gs)] THEN lt.t WHEN gg.t <= lt.gs[len(lt.gs)] THEN gg.t WHEN list_median(lt.gs) > coalesce(mw, 10.0) * 0.5 THEN lt.gs[1] - 0.1 ELSE lt.gs[len(lt.gs)] + 1 END ELSE gg.t END AS t FROM lt JOIN gg USING (page_key) JOIN ws USING (page_key, g)), mv AS (SELECT gp.page_key, gp.g, CASE WHEN any_value(np) = 0 THEN 1 ELSE count(*) FILTER (WHERE gap > th.t) + 1 END AS n FROM gp JOIN th USING (page_key, g) GROUP BY 1, 2), mc AS (SELECT page_key, n, count(*) AS c, min(g) AS first FROM mv GROUP BY 1, 2), mj AS (SELECT page_key, arg_max(n, (c, -first)) AS n FROM mc GROUP BY 1), tx0 AS (SELECT page_key, x, ord, CASE WHEN x - lag(x) OVER (PARTITION BY page_key ORDER BY x, ord) < 20 THEN 0 ELSE 1 END AS b FROM p WHERE type IN ('NUMERIC', 'SPEC_LABEL', 'MODEL', 'SIZE_HEADER', 'KW_HEADER', 'UNIT')), tx1 AS (SELECT page_key, sum(b) OVER (PARTITION BY page_key ORDER BY x, ord ROWS UNBOUNDED PRECEDING) AS run FROM tx0), tx2 AS (SELECT page_key, run, count(*) AS c FROM tx1 GROUP BY 1, 2), ty AS (SELECT page_key, count(*) FILTER (WHERE c >= 2) AS n FROM tx2 GROUP BY 1) SELECT md.page_key, md.n::INT AS ratio, mj.n::INT AS maxjump, coalesce(ty.n, 0)::INT AS typed FROM md JOIN mj USING (page_key) LEFT JOIN ty USING (page_key)",
     }
+    out["row_counts"] = f"""{grid}, {COLS}, {_gaps('cf', 'y')}, al AS (SELECT page_key, list_sort(list(gap)) AS gs FROM gp WHERE gap > 0 GROUP BY page_key), {_threshold('gg', 'al', 'page_key')}, {_threshold('lt', 'gl', 'page_key, g')},
+ws AS (SELECT p.page_key, f.g, median(y1 - y0) FILTER (WHERE y1 > y0) AS mh FROM p JOIN cf f USING (page_key, ord) GROUP BY 1, 2),
+th AS (SELECT lt.page_key, lt.g, len(lt.gs) AS np, CASE WHEN len(lt.gs) >= 3 THEN CASE WHEN lt.t <= lt.gs[len(lt.gs)] THEN lt.t WHEN gg.t <= lt.gs[len(lt.gs)] THEN gg.t WHEN list_median(lt.gs) > coalesce(mh, 10.0) * 0.5 THEN lt.gs[1] - 0.1 ELSE lt.gs[len(lt.gs)] + 1 END ELSE gg.t END AS t FROM lt LEFT JOIN gg USING (page_key) JOIN ws USING (page_key, g)),
+mv AS (SELECT gp.page_key, gp.g, CASE WHEN any_value(np) = 0 THEN 1 ELSE count(*) FILTER (WHERE gap > th.t) + 1 END AS n FROM gp JOIN th USING (page_key, g) GROUP BY 1, 2),
+mc AS (SELECT page_key, n, count(*) AS c, min(g) AS first FROM mv GROUP BY 1, 2),
+mj AS (SELECT page_key, arg_max(n, (c, -first)) AS n FROM mc GROUP BY 1),
+yd AS (SELECT DISTINCT page_key, round(y, 1) AS v FROM p),
+yb AS (SELECT page_key, CASE WHEN v - lag(v) OVER (PARTITION BY page_key ORDER BY v) < 8 THEN 0 ELSE 1 END AS b FROM yd),
+pl AS (SELECT page_key, sum(b)::INT AS n FROM yb GROUP BY 1)
+SELECT pl.page_key, coalesce(mj.n, 1)::INT AS maxjump, pl.n AS plain FROM pl LEFT JOIN mj USING (page_key)"""
+    out["col_splits_maxjump"] = f"""{rows}, {_gaps('rf', 'x')}, al AS (SELECT page_key, list_sort(list(gap)) AS gs FROM gp WHERE gap > 0 GROUP BY page_key), {_threshold('gg', 'al', 'page_key')}, {_threshold('lt', 'gl', 'page_key, g')},
+th AS (SELECT lt.page_key, lt.g, CASE WHEN len(lt.gs) >= 3 AND lt.t <= lt.gs[len(lt.gs)] THEN lt.t ELSE gg.t END AS t FROM lt JOIN gg USING (page_key) WHERE len(lt.gs) > 0),
+tm AS (SELECT page_key, median(t) * 0.5 AS tol FROM th GROUP BY 1),
+nl AS (SELECT page_key, count(DISTINCT g) AS n FROM rf GROUP BY 1),
+bp AS (SELECT gp.page_key, gp.pos AS v, gp.g, gp.i FROM gp JOIN th USING (page_key, g) WHERE gap > 0 AND gap > th.t),
+br AS (SELECT page_key, v, g, i, CASE WHEN v - lag(v) OVER (PARTITION BY page_key ORDER BY v, g, i) < tol THEN 0 ELSE 1 END AS b FROM bp JOIN tm USING (page_key)),
+bn AS (SELECT page_key, v, sum(b) OVER (PARTITION BY page_key ORDER BY v, g, i ROWS UNBOUNDED PRECEDING) AS run FROM br)
+SELECT page_key, median(v) AS split FROM bn JOIN nl USING (page_key) GROUP BY page_key, run, n HAVING count(*) >= greatest(2.0, n * 0.2)"""
     levels = f"""{receipts},
 lv AS (SELECT v.page_key, v.line_idx, v.category, k.text AS key, v.text AS value, pl.entity, pl.spec, pl.value AS found FROM wp v JOIN wp k ON k.page_key = v.page_key AND k.line_idx = v.line_idx AND k.is_key = 1 LEFT JOIN pl ON pl.page_key = v.page_key AND pl.px = v.px AND pl.py = v.py WHERE v.is_key = 0),
 on_line AS (SELECT DISTINCT page_key, lower(text) AS name, line_idx FROM p),
