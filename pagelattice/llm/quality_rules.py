@@ -18,7 +18,7 @@ from .common import let, stored, words_of
 
 SYMBOL_RX = r"[#*$%&|<>]"
 #: Characters that running prose has few of.
-SHOUT_RX = r"[A-Z0-9!?=+_@^~]"
+SHOUT_RX = r"[A-Z!?_^~]"
 WINDOW = 8
 #: Growth of the sketches' buckets: quantiles are within 1 % of their value.
 GROWTH = 1.02
