@@ -87,23 +87,38 @@ def _index(tokenizer: str):
 
 
 def _count(tokenizer: str):
-    """Rows in order of their piece -> block, n (pieces of the pre-token), places."""
+    """Rows in order of their piece -> block, n (tokens of a pre-token), places. Of a block, the places of pre-tokens with
+    equally many tokens go on together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .pretoken import PreTokens
 
         pre = PreTokens(tokenizer)
         last, last_n = None, 0
+        held: dict[tuple[int, int | None], list[bytes]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys = list(held)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in keys], pa.int64()), pa.array([n for _, n in keys], pa.int32()), pa.array([b"".join(held[k]) for k in keys], pa.binary())], ["block", "n", "places"])
+
         for batch in batches:
             pieces = batch.column(0).to_pylist()
             new = [x for x in dict.fromkeys(pieces) if x is not None and x != last]
-            known = dict(zip(new, pre.counts(new), strict=True))
+            known: dict[str | None, int | None] = dict(zip(new, pre.counts(new), strict=True))
             if last is not None:
                 known[last] = last_n
             if pieces and pieces[-1] is not None:
                 last, last_n = pieces[-1], known[pieces[-1]]
-            n = pa.array([known.get(x) for x in pieces], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), n, batch.column(2)], ["block", "n", "places"])
+            known[None] = None
+            for piece, block, places in zip(pieces, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.setdefault((block, known[piece]), []).append(places)
+                size += len(places)
+            if size >= 4 << 20:
+                yield flush()
+                held, size = {}, 0
+        if held:
+            yield flush()
 
     return count
 
