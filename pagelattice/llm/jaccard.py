@@ -65,8 +65,8 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, n (tokens), cls (hash of the set), first and last (the rare and the frequent ones of its first tokens), for
-    every row."""
+    """doc_id, tie (hash of the text), n (tokens), cls (hash of the set), first and last (the rare and the frequent ones of
+    its first tokens), for every row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import shingle_sets
@@ -78,7 +78,7 @@ def described(docs: DataFrame, often: np.ndarray) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 sizes, classes, firsts, lasts = [], [], [], []
-                for some in shingle_sets(part.column(1).to_pylist(), K):
+                for some in shingle_sets(part.column(2).to_pylist(), K):
                     n = len(some)
                     sizes.append(n)
                     classes.append(_class(some) if n else None)
@@ -89,9 +89,9 @@ def described(docs: DataFrame, often: np.ndarray) -> DataFrame:
                     rare = some[~known][:most]
                     firsts.append(rare.view(np.int64))
                     lasts.append(some[known][: most - len(rare)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(firsts), lists(lasts)], ["doc_id", "n", "cls", "first", "last"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(firsts), lists(lasts)], ["doc_id", "tie", "n", "cls", "first", "last"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n long, cls long, first array<long>, last array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(describe, "doc_id long, tie long, n long, cls long, first array<long>, last array<long>")
 
 
 def _met(rare: DataFrame, often: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def _join_clusters(rows: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, n, cls) of every row of docs, and links (a, b) that join linked classes, directly or by others."""
+    """Membership (doc_id, tie, n, cls) of every row of docs, and links (a, b) that join linked classes, directly or by others."""
     docs = docs.select("doc_id", "text")
     often = frequent_tokens(docs)
     rows = stored(described(docs, often), "jaccard-rows")
@@ -233,7 +233,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = stored(_join_clusters(tasks), "jaccard-links")
     if several:
         links = components(links).select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    return rows.select("doc_id", "n", "cls"), links
+    return rows.select("doc_id", "tie", "n", "cls"), links
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
@@ -251,10 +251,15 @@ def linked_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are linked to one of a smaller doc_id, all columns as they were; of rows with one doc_id
-    and one text, one stays; rows without shingles all stay."""
-    found = linked_documents(docs).select("doc_id", "n_shingles", "component_id").distinct()
-    kept = found.filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("__doc"), (F.col("n_shingles") == 0).alias("__blank")).distinct()
+    """docs without those that are linked to one of a smaller doc_id, all columns as they were; of linked rows with one
+    doc_id, one stays, and texts that are not linked stay whatever their doc_id; rows without shingles all stay.
+
+    A null doc_id is the last. What stays of a component is named by doc_id and a hash of the text."""
+    rows, links = classes(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("first")
+    least = rows.filter("n > 0").groupBy("cls").agg(first)
+    least = least.join(links, least["cls"] == links["a"], "left").select(F.coalesce("b", "cls").alias("root"), "first.*")
+    kept = least.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__doc"), F.col("first.tie").alias("__tie"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")) & (blank == F.col("__blank"))).select(*docs.columns)
-    return joined.filter(~blank).dropDuplicates(["doc_id"]).unionByName(joined.filter(blank))
+    joined = docs.filter(~blank).join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__tie")))
+    return joined.dropDuplicates(["__doc", "__tie"]).select(*[docs[c] for c in docs.columns]).unionByName(docs.filter(blank))

@@ -266,6 +266,16 @@ def test_op7_odd(odd, none):
     assert kept.columns == odd.columns and 7 not in {r.doc_id for r in kept.collect()}
 
 
+def test_op7_keeps_unlinked_texts_of_one_id(spark):
+    """Null and repeated ids: of each component one row stays, whatever ids its texts share with others."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    near = text(1) + " end"
+    rows = [(1, text(1)), (7, text(7)), (7, text(8)), (7, text(8)), (7, near), (None, text(2)), (None, text(3)), (None, text(3)), (None, near), (None, text(7)), (9, text(9) + " end"), (9, text(9)), (None, None), (None, " "), (7, "")]
+    kept = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len({t for d, t in kept if d == 9}) == 1
+    assert Counter(r for r in kept if r[0] != 9) == Counter([(1, text(1)), (7, text(7)), (7, text(8)), (None, text(2)), (None, text(3)), (None, None), (None, " "), (7, "")]) and len(kept) == 9
+
+
 def _near_copies(seed, n=160):
     rng = random.Random(seed)
     out, passage = [], " ".join(f"p{k}" for k in range(30))
