@@ -38,10 +38,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RX)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, block_words: int, most: int = 3) -> DataFrame:
+def source_targets(sizes: DataFrame, block_words: int, most: int = 3, seed: int = 11) -> DataFrame:
     """sizes: source, source_size, rows. Weights 1, 2, 3 in turn by code point, null last; a target stops at `most` times
     its source's size and the rest is shared anew by weight. That is min(cap, level * weight) with one level for all,
-    found by running sums over the sources in order of cap / weight."""
+    found by running sums over the sources in order of cap / weight. The quota is the number of slots whose words come
+    nearest to the target, at least one where there is a target: a source's last block is short, and the permutation of
+    the last pass says whether that block is among the slots."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy(F.lit(0))
     s = sizes.withColumn("sid", F.row_number().over(by_name)).withColumn("weight", ((F.col("sid") - 1) % 3 + 1).cast("double"))
@@ -54,19 +56,28 @@ def source_targets(sizes: DataFrame, block_words: int, most: int = 3) -> DataFra
     level = F.try_divide(F.col("all_words") - full("cap"), F.col("all_weights") - full("weight"))
     s = s.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")))
     s = s.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-    quota = F.least(F.round(F.col("target") / block_words).cast("long"), most * F.col("n_blocks"))
+    # Whole passes first; of the next one, as many slots without the short block, or more with it.
+    n = F.greatest("n_blocks", F.lit(1).cast("long"))
+    s = s.withColumn("passes", F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(most).cast("long")))
+    s = s.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
+    s = s.withColumn("short_at", permuted(n - 1, n, F.lit(seed), F.col("sid"), F.col("passes"), back=True)).withColumn("lacks", F.col("n_blocks") * block_words - F.col("source_size"))
+    s = s.withColumn("without", F.least(F.round(F.col("rest") / block_words).cast("long"), F.col("short_at")))
+    s = s.withColumn("with", F.least(F.greatest(F.round((F.col("rest") + F.col("lacks")) / block_words).cast("long"), F.col("short_at") + 1), n))
+    nearer = F.abs(F.col("with") * block_words - F.col("lacks") - F.col("rest")) < F.abs(F.col("without") * block_words - F.col("rest"))
+    slots = F.col("passes") * F.col("n_blocks") + F.when(nearer, F.col("with")).otherwise(F.col("without"))
+    quota = F.when(F.col("target") > 0, F.greatest(F.lit(1).cast("long"), F.least(slots, most * F.col("n_blocks")))).otherwise(F.lit(0).cast("long"))
     return s.select("source", "sid", "weight", "source_size", "rows", "target", quota.alias("quota"), "n_blocks")
 
 
-def permuted(i: Column, n: Column, *key: Column) -> Column:
-    """The place of i in a pseudorandom permutation of 0 to n - 1 that the key fixes."""
+def permuted(i: Column, n: Column, *key: Column, back: bool = False) -> Column:
+    """The place of i in a pseudorandom permutation of 0 to n - 1 that the key fixes; with `back`, what has its place at i."""
 
     def step(x: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - x, n)
         swap = F.xxhash64(*key, r, F.greatest(x, other), F.lit(7)) % 2 == 0
         return F.when(swap, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), i, step)
+    return F.aggregate(F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1)), i, step)
 
 
 def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: int = 11) -> Mix:
@@ -78,7 +89,7 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: i
     """
     spark = docs.sparkSession
     sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text", "source").alias("tie"), size_of(F.col("text")).alias("size")), "mix-sizes")
-    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), block_words), "mix-sources")
+    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), block_words, seed=seed), "mix-sources")
 
     #: One number for each source: the upper ends of the sources' shares of the slots.
     bounds, total = [], 0

@@ -131,6 +131,19 @@ def test_op2_odd(odd, none):
     assert out.columns == odd.columns and max(Counter(r.doc_id for r in out.collect()).values()) <= 3
 
 
+def test_op2_short_last_blocks(spark):
+    """Tiny sources beside large ones: words, not slots, come within half a block of the target, and no source is lost."""
+    sizes = {"a": 70, "b": 5, "c": 130, "d": 9, "e": 20_000, "f": 1, "g": 65}
+    rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(sizes.items())]
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    taken = Counter()
+    for r in m.docs.collect():
+        taken[rows[r.doc_id][2]] += r.taken
+    want = brute.targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 32 and taken[s] for s in sizes) and taken["b"] == 15
+    assert all(r.quota <= 3 * r.n_blocks for r in m.sources.collect())
+
+
 def test_a_permutation_meets_every_place(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p")).collect()
