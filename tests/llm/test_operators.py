@@ -232,6 +232,19 @@ def test_trees_learn():
     assert score(base | {"kind": 2, "digits": 16, "luhn": 1}) > 0 > score(base | {"kind": 2, "digits": 16, "luhn": 0}) and 0.5 <= model.thresholds[2] < 1 and model.thresholds[0] == 2.0
 
 
+def test_op5_adds_spans(spark):
+    """A written-out address and a number without a country's code come out; near misses don't."""
+    texts = [f"{'x ' * k}write to {('jane', 'j.doe', f'jd{k}')[k % 3]}@{('host', f'mail{k % 5}.host')[k % 2]}.com now" for k in range(60)]
+    texts += [f"{'y ' * k}log in as user{k}@host{k % 7} then a{k}@1.{k}" for k in range(60)]
+    texts += [f"{'z ' * k}call +1 (743) 555-{3000 + k} or +{k % 9 + 1} 55-{k % 10}" for k in range(60)]
+    added = {"mail: jane [at] host [dot] com": "email:6:30", "call (743) 555-3824 today": "phone:5:19", "see lee (at) home (dot) 7": "", "only root@localhost here": ""}
+    rows = spark.createDataFrame(list(enumerate([*texts, *added])), "doc_id long, text string")
+    found = got(pii.found(rows))
+    assert {t: found[len(texts) + k][5] for k, t in enumerate(added)} == added
+    for k, t in enumerate(texts):
+        assert found[k][:5] == brute.pii_row(t)[:5] and not any(x.startswith("email") for x in set(found[k][5].split(",")) - set(brute.pii_row(t)[5].split(",")))
+
+
 # --- sharding
 
 
