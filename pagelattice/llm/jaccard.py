@@ -201,7 +201,7 @@ def _join_clusters(rows: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, tie, n, cls) of every row of docs, and links (a, b) that join linked classes, directly or by others."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")  # hashes of int and long differ
     often = frequent_tokens(docs)
     rows = stored(described(docs, often), "jaccard-rows")
     one = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))

@@ -327,6 +327,12 @@ def test_op7_loses_no_link(spark, monkeypatch, large, block):
     assert got(jaccard.linked_documents(rows)) == brute.linked(docs)
 
 
+def test_op7_takes_int_ids(spark):
+    docs = _near_copies(11, 80)
+    rows = spark.createDataFrame(docs, "doc_id int, text string").repartition(3)
+    assert got(jaccard.linked_documents(rows)) == brute.linked(docs)
+
+
 def test_signature_tree():
     for seed in range(4):
         docs = _near_copies(seed, 240)
