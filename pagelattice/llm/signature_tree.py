@@ -39,9 +39,9 @@ class Forest:
             self.up = up
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A bitmap of each set. Tokens that one set alone has get no bit: they can't be common. With few other tokens every
-    one has its own bit, else they are folded."""
+def _bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A bitmap of each set, how many tokens it shows, and whether each has its own bit. Tokens that one set alone has get
+    no bit: they can't be common. With few other tokens every one has its own bit, else they are folded."""
     every = np.sort(np.concatenate(sets))
     shared = np.unique(every[1:][every[1:] == every[:-1]])
     del every
@@ -53,7 +53,7 @@ def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
         at = at[shared[np.minimum(at, len(shared) - 1)] == s] if len(shared) else at[:0]
         common[k] = len(at)
         np.bitwise_or.at(maps[k], at % bits // 8, (1 << (at % 8)).astype(np.uint8))
-    return maps.view(np.uint64), common
+    return maps.view(np.uint64), common, len(shared) <= bits
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -69,9 +69,8 @@ def linked(sets: list[np.ndarray], percent: int = 80, both: np.ndarray | None =
     if n < 2:
         return forest.up
     sizes = np.fromiter(map(len, sets), np.int64, n)
-    maps, common = _bitmaps(sets)
+    maps, common, exact = _bitmaps(sets)
     free = common - _popcount(maps)
-    exact = not free.any()
     low = np.fromiter((int(s.min()) for s in sets), np.uint64, n)
     high = np.fromiter((int((s * np.uint64(0x9E3779B97F4A7C15)).min()) for s in sets), np.uint64, n)
     order = np.lexsort((sizes, high, low))

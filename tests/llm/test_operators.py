@@ -342,6 +342,12 @@ def test_signature_tree():
         assert [want[d][1] for d, _ in docs] == root.tolist() and [len(s) for s in sets] == [want[d][0] for d, _ in docs]
 
 
+def test_signature_tree_checks_folded_tokens():
+    """More tokens than bits: sets whose tokens share bits but not themselves aren't linked."""
+    sets = [np.arange(k, k + 8, dtype=np.uint64) for k in range(0, 3 * 4096, 4)]
+    assert linked(sets).tolist() == list(range(len(sets)))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60) if k % 20 != 19] + [(100, 100), (200, 150), (None, 3), (7, 7)]
     found = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
