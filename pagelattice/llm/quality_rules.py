@@ -2,9 +2,12 @@
 
 Each document gets a few counts and ratios. For every language and source, the ratios go into quantile sketches:
 counts in buckets whose ends grow by a constant factor, so that sketches are merged by adding counts and a quantile is
-off by a known share of its value at most. A group's cut-off is its upper quartile plus a multiple of its quartile
-distance and a least slack; a group of few documents uses its language's merged sketch, or that of all documents. The
-cut-offs are joined back and decide. All of it is built-in functions, one pass for the counts and one small join.
+off by a known share of its value at most. A group's sketch is merged with its language's, which weighs as much as
+PRIOR documents, and that one with the sketch of all documents likewise: a group of few documents leans on its parent,
+a large one on itself. The cut-off lies beyond the 90th percentile by a multiple of its distance from the median, and
+where both are zero, at what the sketch can't tell from zero. The cut-offs are joined back; a document fails where its
+ratio is beyond one by more than the error that its own counts leave. All of it is built-in functions, one pass for the
+counts and one small join.
 """
 
 from __future__ import annotations
@@ -20,25 +23,46 @@ SYMBOL_RX = r"[#*$%&|<>]"
 #: Characters that running prose has few of.
 SHOUT_RX = r"[A-Z!?_^~]"
 WINDOW = 8
-#: Growth of the sketches' buckets: quantiles are within 1 % of their value.
-GROWTH = 1.02
+#: Growth of the sketches' buckets, and the least ratio that they tell from zero.
+GROWTH, LEAST = 1.02, 0.01
 _ZERO = -1_000_000
+#: Documents that a parent's sketch counts as in its children's.
+PRIOR = 200
+#: The percentile that a group's documents reach, how many times its distance from the median may be added, and the
+#: standard errors of its own ratio that a document is given.
+UPPER, DISTANCES, ERRORS = 0.9, 3.0, 3.0
+#: Groups whose cut-offs are broadcast at most, some 100 bytes each; with more they are joined by key.
+MOST_GROUPS = 50_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio, its least slack above the upper quartile (and below the lower one, if `both`)."""
+    """A ratio of two counts, in units that come by themselves (a repeated window is 8 words), and whether it may be too
+    small as well as too large."""
 
     name: str
-    slack: float
+    count: str
+    of: str
+    unit: int = 1
     both: bool = False
 
+    def counted(self, q: Column) -> Column:
+        return q[self.count] / self.unit
+
+    def whole(self, q: Column) -> Column:
+        return F.greatest(q[self.of], F.lit(1)) / self.unit
+
+    def ratio(self, q: Column) -> Column:
+        return q[self.count] / F.greatest(q[self.of], F.lit(1))
 
-RULES = (Rule("symbols", 0.03), Rule("word_length", 0.6, both=True), Rule("shouting", 0.08), Rule("dup_lines", 0.25), Rule("repeats", 0.2))
-#: Quartile distances above the upper quartile; documents that a group needs for cut-offs of its own.
-DISTANCES, LEAST_ROWS = 3.0, 100
-#: Groups whose cut-offs are broadcast at most, some 100 bytes each.
-MOST_GROUPS = 50_000
+
+RULES = (
+    Rule("symbols", "n_symbols", "word_chars"),
+    Rule("word_length", "word_chars", "n_words", both=True),
+    Rule("shouting", "n_shout", "word_chars"),
+    Rule("dup_lines", "n_dup_lines", "n_lines"),
+    Rule("repeats", "n_repeat_words", "n_words", unit=WINDOW),
+)
 
 
 def _covered(words: Column) -> Column:
@@ -76,73 +100,79 @@ def counts(text: Column) -> Column:
 
 
 def measured(docs: DataFrame, column: str = "__q") -> DataFrame:
-    """docs with a struct column of counts, ratios and the fixed base rule."""
+    """docs with a struct column of counts and the fixed base rule."""
     out = docs.withColumn(column, counts(F.col("text")))
     c = F.col(column)
-    n, chars = c["w"]["n"].cast("long"), c["w"]["chars"].cast("long")
-    repeats = c["w"]["repeats"].cast("long")
+    n, repeats = c["w"]["n"].cast("long"), c["w"]["repeats"].cast("long")
     whole = {
         "n_words": n,
-        "word_chars": chars,
+        "word_chars": c["w"]["chars"].cast("long"),
         "n_symbols": c["n_symbols"].cast("long"),
         "n_dup_lines": c["l"]["dups"].cast("long"),
         "n_repeat_words": repeats,
+        "n_lines": c["l"]["lines"].cast("long"),
+        "n_shout": c["n_shout"].cast("long"),
         "base_failed": (n < 20) | (100 * repeats > 30 * n),
-        "symbols": F.coalesce(F.try_divide(c["n_symbols"], chars), F.lit(0.0)),
-        "word_length": F.coalesce(F.try_divide(chars, n), F.lit(0.0)),
-        "shouting": F.coalesce(F.try_divide(c["n_shout"], chars), F.lit(0.0)),
-        "dup_lines": F.coalesce(F.try_divide(c["l"]["dups"], c["l"]["lines"]), F.lit(0.0)),
-        "repeats": F.coalesce(F.try_divide(repeats, n), F.lit(0.0)),
     }
     return out.withColumn(column, F.struct(*[v.alias(k) for k, v in whole.items()]))
 
 
 def sketches(rows: DataFrame, column: str = "__q") -> DataFrame:
     """lang, source, rule, bucket, n: the sketches of all documents that the base rule leaves. Adding up n merges them."""
-    place = lambda x: F.when(x <= 1e-6, F.lit(_ZERO)).otherwise(F.ceil(F.log(x) / F.log(F.lit(GROWTH))).cast("int"))
-    values = F.array(*[F.struct(F.lit(r.name).alias("rule"), place(F.col(column)[r.name]).alias("bucket")) for r in RULES])
+    place = lambda x: F.when(x <= LEAST, F.lit(_ZERO)).otherwise(F.ceil(F.log(x) / F.log(F.lit(GROWTH))).cast("int"))
+    values = F.array(*[F.struct(F.lit(r.name).alias("rule"), place(r.ratio(F.col(column))).alias("bucket")) for r in RULES])
     left = rows.filter(~F.col(column)["base_failed"]).select("lang", "source", F.explode(values).alias("v"))
     return left.groupBy("lang", "source", "v.rule", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Quartiles of each rule in each group, and the group's documents."""
-    merged = sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*by, "rule")
-    upto = F.sum("n").over(group.orderBy("bucket")) / F.sum("n").over(group)
-    value = F.when(F.col("bucket") == _ZERO, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket")) / (GROWTH + 1))
-    rows = merged.withColumn("upto", upto).withColumn("value", value)
-    at = lambda q: F.min(F.when(F.col("upto") >= q, F.col("value")))
-    return rows.groupBy(*by, "rule").agg(F.sum("n").alias("rows"), at(0.25).alias("low"), at(0.75).alias("high"))
+def _leaning(own: DataFrame, keys: list[str], parent: DataFrame, shared: list[str]) -> DataFrame:
+    """own and parent: keys, rule, bucket, n -> own merged with the sketch of its parent, scaled to PRIOR documents."""
+    names = {c: f"__{c}" for c in shared}
+    scaled = parent.withColumn("n", PRIOR * F.col("n") / F.sum("n").over(Window.partitionBy(*shared, "rule"))).withColumnsRenamed(names | {"rule": "__rule"})
+    on = F.col("rule") == F.col("__rule")
+    for c in shared:
+        on = on & F.col(c).eqNullSafe(F.col(names[c]))
+    lent = own.select(*keys, "rule").distinct().join(scaled, on).select(*keys, "rule", "bucket", "n")
+    return own.select(*keys, "rule", "bucket", F.col("n").cast("double").alias("n")).unionByName(lent).groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str], **at: float) -> DataFrame:
+    """keys, rule, and a column for each wanted quantile: the end of the bucket that holds it."""
+    group = Window.partitionBy(*keys, "rule")
+    upto = F.sum("n").over(group.orderBy("bucket")) / F.sum("n").over(group) + 1e-9
+    value = F.when(F.col("bucket") == _ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GROWTH), F.col("bucket")))
+    rows = sketch.withColumn("upto", upto).withColumn("value", value)
+    return rows.groupBy(*keys, "rule").agg(*[F.min(F.when(F.col("upto") >= q, F.col("value"))).alias(name) for name, q in at.items()])
 
 
 def cutoffs(sketch: DataFrame) -> DataFrame:
-    """lang, source, then low_ and high_ of each rule (without the slack): those of the group, else of its language,
-    else of all, whichever is the first with enough documents."""
-    groups, languages, everything = _quartiles(sketch, "lang", "source"), _quartiles(sketch, "lang"), _quartiles(sketch)
-    renamed = lambda d, end, *keep: d.select(*keep, "rule", *[F.col(c).alias(c + end) for c in ("rows", "low", "high")])
-    languages = renamed(languages.withColumnRenamed("lang", "lang_2"), "_2", "lang_2").withColumnRenamed("rule", "rule_2")
-    both = groups.join(languages, groups["lang"].eqNullSafe(languages["lang_2"]) & (groups["rule"] == languages["rule_2"])).join(renamed(everything, "_3"), "rule")
-    pick = lambda c: F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).when(F.col("rows_2") >= LEAST_ROWS, F.col(c + "_2")).otherwise(F.col(c + "_3"))
-    low, high = pick("low"), pick("high")
-    both = both.select("lang", "source", "rule", (low - DISTANCES * (high - low)).alias("low"), (high + DISTANCES * (high - low)).alias("high"))
-    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, F.col(c))).alias(f"{c}_{r.name}") for r in RULES for c in ("low", "high")])
+    """lang, source, then low_ and high_ of each rule, from the group's sketch leaning on its language's, and that one on
+    the sketch of all documents. A ratio of LEAST or less is no more than zero to a sketch, so that much is added."""
+    everything = sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
+    languages = _leaning(sketch.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n")), ["lang"], everything, [])
+    groups = _leaning(sketch, ["lang", "source"], languages, ["lang"])
+    q = quantiles(groups, ["lang", "source"], lower=1 - UPPER, middle=0.5, upper=UPPER)
+    high = F.col("upper") + DISTANCES * (F.col("upper") - F.col("middle")) + LEAST
+    low = (F.col("lower") - DISTANCES * (F.col("middle") - F.col("lower"))) / GROWTH - LEAST
+    q = q.select("lang", "source", "rule", low.alias("low"), high.alias("high"))
+    return q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, F.col(c))).alias(f"{c}_{r.name}") for r in RULES for c in ("low", "high")])
 
 
 def judged(rows: DataFrame, cuts: DataFrame, column: str = "__q") -> DataFrame:
-    """rows with a column __kept. Short documents get more slack: their ratios vary more."""
+    """rows with a column __kept. A count of k is off by the root of k: a document is beyond a cut-off only if its ratio
+    is so with ERRORS times that given."""
     cuts = cuts.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     # A row for each language and source: broadcast if there are few, by count; else joined by key, hot ones split by AQE.
     cuts = stored(cuts, "quality-cuts")
     cuts = F.broadcast(cuts) if cuts.count() <= MOST_GROUPS else cuts
     joined = rows.join(cuts, rows["lang"].eqNullSafe(cuts["__lang"]) & rows["source"].eqNullSafe(cuts["__source"]), "left")
     q = F.col(column)
-    more = 1 + 5 / F.sqrt(F.greatest(q["n_words"], F.lit(1)))
     bad = F.lit(False)
     for r in RULES:
-        bad = bad | (q[r.name] > F.col(f"high_{r.name}") + r.slack * more)
+        error = ERRORS * F.sqrt(r.counted(q)) / r.whole(q)
+        bad = bad | (r.ratio(q) - error > F.col(f"high_{r.name}"))
         if r.both:
-            bad = bad | (q[r.name] < F.col(f"low_{r.name}") - r.slack * more)
+            bad = bad | (r.ratio(q) + error < F.col(f"low_{r.name}"))
     return joined.withColumn("__kept", ~q["base_failed"] & ~F.coalesce(bad, F.lit(False))).drop("__lang", "__source", *[f"{c}_{r.name}" for r in RULES for c in ("low", "high")])
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -45,6 +46,46 @@ def base_counts(text):
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), n < 20 or 100 * len(hit) > 30 * n
 
 
+def kept_rows(docs):
+    """docs: (doc_id, text, lang, source) -> doc_id: kept. Sketches are dicts; a group's leans on its language's with 200
+    documents, and that one on the sketch of all."""
+    rows, sketch = {}, {}
+    for d, text, lang, source in docs:
+        n, chars, symbols, dups, repeats, failed = base_counts(text)
+        lines = len([x for x in (text or "").split("\n") if WORD.search(x)])
+        shout = len(re.findall(r"[A-Z!?_^~]", text or ""))
+        rows[d] = (failed, lang, source, {"symbols": (symbols, chars, 1), "word_length": (chars, n, 1), "shouting": (shout, chars, 1), "dup_lines": (dups, lines, 1), "repeats": (repeats, n, 8)})
+        for rule, (k, m, _) in rows[d][3].items() if not failed else ():
+            x = k / max(m, 1)
+            bucket = 0.0 if x <= 0.01 else 1.02 ** math.ceil(math.log(x) / math.log(1.02))
+            for key in ((rule,), (rule, lang), (rule, lang, source)):
+                sketch.setdefault(key, Counter())[bucket] += 1
+    leaning = dict(sketch)
+    for key in sorted(sketch, key=len)[5:]:
+        parent = leaning[key[:-1]]
+        leaning[key] = {b: sketch[key].get(b, 0) + 200 * parent[b] / sum(parent.values()) for b in parent}
+
+    def at(key, q):
+        upto, total = 0.0, sum(leaning[key].values())
+        for b in sorted(leaning[key]):
+            upto += leaning[key][b]
+            if upto / total + 1e-9 >= q:
+                return b
+
+    out, cuts = {}, {}
+    for d, (failed, lang, source, ratios) in rows.items():
+        bad = failed
+        for rule, (k, m, unit) in ratios.items() if not failed else ():
+            key = (rule, lang, source)
+            if key not in cuts:
+                lower, middle, upper = (at(key, q) for q in (0.1, 0.5, 0.9))
+                cuts[key] = ((lower - 3 * (middle - lower)) / 1.02 - 0.01, upper + 3 * (upper - middle) + 0.01)
+            error = 3 * math.sqrt(k / unit) / (max(m, 1) / unit)
+            bad |= k / max(m, 1) - error > cuts[key][1] or (rule == "word_length" and k / max(m, 1) + error < cuts[key][0])
+        out[d] = not bad
+    return out
+
+
 def warc_rows(pages, least=0):
     """pages: (page_id, html)."""
     first = {}
