@@ -17,10 +17,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import in_arrow, partitions_for, scratch
 
 CHUNK = 1 << 16
 _CHUNKS = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("chunk_no", pa.int32()), ("chunk", pa.binary()), ("digest_so_far", pa.string()), ("last", pa.bool_())])
@@ -32,21 +32,35 @@ def _base32(hexed: str) -> str:
 
 
 def planned(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Chunk rows to write: page_id, url, payload_bytes, payload_sha1, refers_to, chunk_no, chunks, chunk.
+    """Chunk rows to write, a record's one after the other: page_id, url, payload_bytes, payload_sha1, refers_to, chunk_no,
+    chunks, chunk.
 
     Of records with equal payloads of at least least_bytes bytes, those with the smallest page_id are responses and the
-    others refer to it; equal payloads are found by length and digest, pre-aggregated, and joined by what equals.
+    others refer to it. Equal payloads are found by length and digest, on rows without payloads: an aggregate gives the
+    smallest page_id of each, and a row of page_id, digest and what it refers to for each page that has a twin. Payloads
+    are cut where they are read, and chunks meet those rows by page_id and digest, which spreads the copies of one payload
+    over all tasks. Equal rows are told apart by a number.
     """
     body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     rows = rows.select("page_id", "url", "body", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("payload_sha1"))
-    first = rows.groupBy("payload_sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    first = first.filter(f"n > 1 and payload_bytes >= {least_bytes}").drop("n")
-    rows = rows.join(first, ["payload_sha1", "payload_bytes"], "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first_id")), None).otherwise(F.col("first_id")))
+    of = ["payload_sha1", "payload_bytes"]
+    narrow = (rows.filter(f"payload_bytes >= {least_bytes}") if least_bytes else rows).groupBy("page_id", *of).agg(F.count(F.lit(1)).alias("n"))
+    first = narrow.groupBy(*of).agg(F.min("page_id").alias("first_id"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    # A payload's chunks are made as one list, so that no row beside a chunk holds the payload.
+    part = lambda k: F.substring("body", k * chunk + 1, F.lit(chunk))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk)).cast("int") - 1), part)
+    # One exchange of chunks, by record; all that follows keeps to it, the join too, whichever way it runs.
+    n = partitions_for(pages, 32 << 20)
+    named = [F.coalesce("page_id", F.lit(0)).alias("__id"), F.col("page_id").isNull().alias("__none"), "payload_sha1"]
+    cut = rows.select("page_id", "url", *of[1:], *named, F.posexplode(parts).alias("chunk_no", "chunk")).repartition(n, "__id", "__none", "payload_sha1")
+    refers = narrow.drop("n").join(first, of).filter("not page_id <=> first_id").select(*named, F.col("first_id").alias("refers_to")).repartition(n, "__id", "__none", "payload_sha1")
+    joined = cut.join(refers, ["__id", "__none", "payload_sha1"], "left").filter("refers_to is null or chunk_no = 0").withColumn("chunk", F.when(F.col("refers_to").isNull(), F.col("chunk")))
+    record = ["__id", "__none", "payload_sha1", "url"]
+    copy = F.row_number().over(Window.partitionBy(*record, "chunk_no").orderBy(F.lit(0)))
+    joined = joined.withColumn("copy", copy).sortWithinPartitions(*record, "copy", "chunk_no")
     chunks = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cut = F.when(F.col("refers_to").isNull(), F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
-    return rows.select("page_id", "url", "payload_bytes", "payload_sha1", "refers_to", "chunk_no", "chunks", cut.alias("chunk"))
+    return joined.select("page_id", "url", "payload_bytes", "payload_sha1", "refers_to", "chunk_no", chunks.alias("chunks"), "chunk")
 
 
 def _clean(text: str | None) -> str:
@@ -125,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
             yield closed()
 
     rows = planned(pages, least_bytes, chunk)
-    rows.mapInArrow(write, "path string, records long").write.parquet(f"{folder}/manifest")
+    in_arrow(rows, write, "path string, records long").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 
@@ -230,7 +244,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True, chunk: int = CHUNK
                         yield pa.RecordBatch.from_pylist(held, _CHUNKS)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(n).mapInArrow(read, CHUNK_ROWS)
+    return in_arrow(manifest.select("path").repartition(n), read, CHUNK_ROWS)
 
 
 def page_records(chunk_rows: DataFrame) -> DataFrame:
