@@ -15,21 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import in_arrow, partitions_for
 
 BLOCK_DOCS, BLOCK_CHARS = 8192, 24 << 20
-#: Pre-tokens beyond this length are cut off from the join, as they hardly meet again, and counted where they are.
-LONG = 200
 
 
-def _pack(names: list[int | None], sizes: list[int], extra: list[int]) -> bytes:
-    """A block's documents: whether they have a doc_id, doc_ids, bytes, tokens of long pre-tokens. In one binary value: a
-    column of lists would cost every row that goes to Python more than all the rest."""
-    return np.array([[x is not None for x in names], [x or 0 for x in names], sizes, extra], "<i8").tobytes()
+def _pack(names: list[int | None], sizes: list[int]) -> bytes:
+    """A block's documents: whether they have a doc_id, doc_ids, bytes. In one binary value: a column of lists would cost
+    every row that goes to Python more than all the rest."""
+    return np.array([[x is not None for x in names], [x or 0 for x in names], sizes], "<i8").tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<i8").reshape(4, -1)
+    return np.frombuffer(data, "<i8").reshape(3, -1)
 
 
 def _index(tokenizer: str):
@@ -43,7 +41,6 @@ def _index(tokenizer: str):
         pre, part, seq = PreTokens(tokenizer), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         sizes: list[int] = []
-        extra: list[int] = []
         at: dict[str, int] = {}
         places: list[np.ndarray] = []
         chars = 0
@@ -63,23 +60,19 @@ def _index(tokenizer: str):
             for a in range(0, n, 20_000):
                 b = min(n, a + 20_000)
                 yield pa.RecordBatch.from_arrays([pa.array(pieces[a:b], pa.string()), pa.array(np.full(b - a, key)), body.slice(a, b - a)], ["piece", "block", "places"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([key]), pa.array([_pack(names, sizes, extra)], pa.binary())], ["piece", "block", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([key]), pa.array([_pack(names, sizes)], pa.binary())], ["piece", "block", "places"])
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_py() or ""
                 pieces = pre.of(text)
-                long = [x for x in pieces if len(x) > LONG]
-                if long:
-                    pieces = [x for x in pieces if len(x) <= LONG]
-                extra.append(sum(pre.counts(long)) if long else 0)
                 names.append(name)
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 places.append(np.fromiter((at.setdefault(x, len(at)) for x in pieces), np.int32, len(pieces)))
                 chars += len(text)
                 if len(names) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
                     yield from block()
-                    names, sizes, extra, at, places, chars = [], [], [], {}, [], 0
+                    names, sizes, at, places, chars = [], [], {}, [], 0
         if names:
             yield from block()
 
@@ -129,9 +122,9 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> Iterator[pa.RecordBatch]:
         if docs is not None:
-            known, names, sizes, extra = docs
+            known, names, sizes = docs
             ids = pa.array(names, pa.int64(), mask=known == 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[: len(names)] + extra)], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[: len(names)])], ["doc_id", "n_bytes", "n_tokens"])
 
     for batch in batches:
         blocks = batch.column(0).to_numpy()
@@ -158,9 +151,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     part). A null text is an empty one, with 0 tokens; repeated rows are separate; an empty table gives none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions_for(rows, 8 << 20)
-    index = rows.mapInArrow(_index(tokenizer), "piece string, block long, places binary")
+    index = in_arrow(rows, _index(tokenizer), "piece string, block long, places binary")
     # Rows of a block's documents have no piece; they are dealt out by their block.
     dealt = index.repartition(n, F.when(F.col("piece").isNull(), F.col("block")).otherwise(F.xxhash64("piece"))).sortWithinPartitions("piece")
-    counted = dealt.mapInArrow(_count(tokenizer), "block long, n int, places binary")
-    summed = counted.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
+    counted = in_arrow(dealt, _count(tokenizer), "block long, n int, places binary")
+    summed = in_arrow(counted.repartition(n, "block").sortWithinPartitions("block"), _total, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
