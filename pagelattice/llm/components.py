@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node, comp: the least node that each node reaches.
 
     Each round takes the least label among a node's neighbours, then the label of that label; labels are stored after a
-    round, so that lineage stays short. Rows without both ends are left out; loops and repeats do no harm; a graph
+    round, so that lineage stays short. Labels only fall, so that the rounds end. Rows without both ends are left out; loops and repeats do no harm; a graph
     without edges has no nodes.
     """
     both = edges.filter("a is not null and b is not null and a <> b").select("a", "b")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")), "cc-labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("least"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "least").alias("to"), F.col("comp").alias("was"))
         ahead = labels.select(F.col("node").alias("to"), F.col("comp").alias("beyond"))
@@ -27,4 +27,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = step.select("node", "comp")
         if not changed:
             return labels
-    raise RuntimeError(f"the components didn't settle in {most_rounds} rounds")

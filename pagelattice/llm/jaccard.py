@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, stored
+from .common import in_arrow, partitions_for, stored
 from .components import components
 
 K, PERCENT = 5, 80
@@ -29,8 +29,11 @@ K, PERCENT = 5, 80
 ONE_IN, SAMPLE, FREQUENT, MOST_FREQUENT = 12, 50_000, 4, 100_000
 #: Tokens from which on a cluster is sorted out once more; tokens of a cluster's block that one task holds.
 LARGE_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
-#: Bits of the filter that spares most documents the way to the clusters.
-FILTER_BITS = 23
+#: Low bits of a token that are left out where classes meet by tokens: fewer bytes travel, and what meets by chance is
+#: told apart by the exact check.
+SPARED_BITS = np.uint64(16)
+#: Powers of two that the filter's bits lie between, 32 MB at most: it spares most documents the way to the clusters.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def _extra(n):
@@ -59,7 +62,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
         return np.zeros(0, np.uint64)
     share = max(ONE_IN, rows // SAMPLE)
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == 0).select("text")
-    often = sample.mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    often = in_arrow(sample, tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
     top = often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token")
     return np.sort(np.array(top, np.int64).view(np.uint64))
 
@@ -87,11 +90,11 @@ def described(docs: DataFrame, often: np.ndarray) -> DataFrame:
                     if len(often) and n:
                         known = often[np.minimum(np.searchsorted(often, some), len(often) - 1)] == some
                     rare = some[~known][:most]
-                    firsts.append(rare.view(np.int64))
-                    lasts.append(some[known][: most - len(rare)].view(np.int64))
+                    firsts.append((rare >> SPARED_BITS).view(np.int64))
+                    lasts.append((some[known][: most - len(rare)] >> SPARED_BITS).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(firsts), lists(lasts)], ["doc_id", "tie", "n", "cls", "first", "last"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(describe, "doc_id long, tie long, n long, cls long, first array<long>, last array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text"), describe, "doc_id long, tie long, n long, cls long, first array<long>, last array<long>")
 
 
 def _met(rare: DataFrame, often: DataFrame) -> DataFrame:
@@ -132,9 +135,9 @@ def _sorted_out(members: DataFrame, docs: DataFrame, often: np.ndarray) -> DataF
                 for cls, some in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), K), strict=True):
                     if _class(some) == cls:
                         known = often[np.minimum(np.searchsorted(often, some), len(often) - 1)] == some if len(often) else np.zeros(len(some), bool)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cls)), pa.array(some.view(np.int64)), pa.array(known)], ["cls", "token", "known"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cls)), pa.array((some >> SPARED_BITS).view(np.int64)), pa.array(known)], ["cls", "token", "known"])
 
-    every = stored(_texts_of(members, docs).select("cls", "text").mapInArrow(tokens, "cls long, token long, known boolean"), "jaccard-tokens")
+    every = stored(in_arrow(_texts_of(members, docs).select("cls", "text"), tokens, "cls long, token long, known boolean"), "jaccard-tokens")
     met = _met(every.filter("not known").select("cls", "token"), every.filter("known").select("cls", "token"))
     by_class = met.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("ts")).join(members.select("cls", "n").distinct(), "cls")
     extra = 1 + F.floor(F.col("n") / 12)
@@ -146,8 +149,10 @@ def _sorted_out(members: DataFrame, docs: DataFrame, often: np.ndarray) -> DataF
 
 
 def _filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be in wanted, by a bitmap of fixed size, 1 MB, which is broadcast."""
-    place = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(1 << FILTER_BITS))
+    """The rows of docs whose doc_id may be in wanted, by a bitmap that is broadcast: 16 bits for each that is wanted, as
+    far as MOST_BITS go; beyond that it lets more rows pass, which the join then drops."""
+    size = 1 << max(LEAST_BITS, min(MOST_BITS, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(size))
     bits = wanted.select(place("doc_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
     rows = docs.withColumn("__h", place("doc_id"))
     rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("__h") == F.col("__bucket"))
@@ -196,7 +201,7 @@ def _join_clusters(rows: DataFrame) -> DataFrame:
                         held[c], sides[c] = some, s
         yield from done()
 
-    return rows.mapInArrow(join, "a long, b long")
+    return in_arrow(rows, join, "a long, b long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -244,10 +249,13 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     there is no other. An empty table gives an empty result.
     """
     rows, links = classes(docs)
-    joined = rows.join(links, rows["cls"] == links["a"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("b", "cls").alias("root"))
-    least = joined.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = joined.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # Least ids by class first: no task gathers the rows of a class, and classes, not rows, meet by component.
+    least = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    least = least.join(links, least["cls"] == links["a"], "left").select("cls", "least", F.coalesce("b", "cls").alias("root"))
+    of_root = least.groupBy("root").agg(F.min("least").alias("least"))
+    named = least.select("cls", "root").join(of_root, "root").select(F.col("cls").alias("__cls"), "least")
+    out = rows.join(named, rows["cls"] == F.col("__cls"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("__cls").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
