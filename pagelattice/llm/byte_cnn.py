@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 STRIDE, WIDTH, FILTERS = 8, 8, 32
 #: Labelled documents that the network is fitted to at most, and the longest of them in bytes.
 SAMPLE_ROWS, SAMPLE_TEXT = 3000, 200_000
@@ -163,7 +165,7 @@ def scored(docs: DataFrame, net: Net, cut: float = 0.3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(got), pa.array((got >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("data")).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return in_arrow(docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("data")), score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

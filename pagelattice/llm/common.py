@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, else one made for a local session."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, else one made for a local session. On a
+    cluster without that setting there is none, which is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pagelattice-"))
             kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = kept.get()
@@ -42,15 +48,25 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def scratch_paths() -> list[str]:
+    """All scratch paths made so far, in order."""
+    return [path for _, path in _made]
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clean() -> None:
     for ref, path in _made:
         spark = ref()
-        jsc = getattr(getattr(spark, "sparkContext", None), "_jsc", None)
-        if jsc is None:
+        if getattr(getattr(spark, "sparkContext", None), "_jsc", None) is None:
             continue
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+            removed(spark, [path])
         except Exception:  # the JVM may have ended before the interpreter
             return
 
@@ -63,6 +79,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the batches that go to Python: a batch of whole texts stays small however long they are.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded bytes (the session keeps that setting), by workers that hand back what memory a
+    task has used: they live on beside the next stages, which need it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def size_estimate(df: DataFrame) -> int:
     """Bytes of what df is made from: the files' lengths, where it is files. Estimates of joins are products, and those of
     rows that the driver made are unknown; neither is of use here."""

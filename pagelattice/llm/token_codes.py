@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, scratch
+from .common import in_arrow, partitions_for, scratch
 
 MAGIC = b"DACTOK01"
 #: Bits that one entry of the rank directory covers.
@@ -178,7 +178,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange(partitions_for(docs.select("doc_id", "text"), 8 << 20), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
+    in_arrow(ordered, write, "part int, seq int, path string, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
     files = spark.read.parquet(f"{folder}/manifest")
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("all"))
     parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
@@ -198,4 +198,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1] + base, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path", "base").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(manifest.select("path", "base").repartition(n), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
