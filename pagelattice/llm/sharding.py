@@ -33,7 +33,8 @@ def splitters(keyed: DataFrame, n: int, tolerance: float = 0.001, group_toleranc
     rows of each cell.
 
     A boundary stops where it is off by no more than `tolerance` of a part; one between two texts' hashes stops at
-    `group_tolerance`, so that groups of equal texts are cut only if they are larger than that.
+    `group_tolerance`, so that groups of equal texts are cut only if they are larger than that: of 8 parts of 1 GB, copies
+    that take up more than 20 MB together may lie in two neighbouring shards, and a shard is off by 20 MB at most.
     """
     first = {r["cell"]: (r["bytes"], r["rows"]) for r in keyed.groupBy(F.shiftright("key", ROUNDS[0]).alias("cell")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()}
     total = sum(b for b, _ in first.values())
