@@ -61,12 +61,12 @@ def type_of(text: Column, patterns: dict[str, tuple[str, ...]] | None = None, do
 
 
 def base_type_of(text: Column) -> Column:
-    """The smaller cascade: numbers, units, text."""
+    """The smaller cascade, with its own units: numbers, units, text."""
     t = stripped(F.coalesce(text, F.lit("")))
     tl = F.regexp_replace(F.lower(t), r"\.+$", "")
     dense = F.regexp_replace(tl, r"(?U)\s", "")
     number = dense.rlike(r"(?U)^[\d.,/\-()x×°%~+:]+$") & dense.rlike(r"(?U)\d")
-    return F.when(tl.isin(*V.UNITS), "UNIT").when(number | t.rlike(r"(?U)^R\d{3}"), "NUMERIC").otherwise("TEXT")
+    return F.when(tl.isin(*V.BASE_UNITS), "UNIT").when(number | t.rlike(r"(?U)^R\d{3}"), "NUMERIC").otherwise("TEXT")
 
 
 def magnitude(text: Column) -> Column:

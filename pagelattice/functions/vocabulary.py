@@ -11,6 +11,13 @@ UNITS = (
     "cfm", "btu/h", "kcal/h", "g/h", "ml/h",
 )
 
+# Units of the base typing, which knows fewer and other ones. Fixed values.
+BASE_UNITS = (
+    "kw", "w", "db", "db(a)", "dba", "kg", "mm", "v", "a", "hz",
+    "kpa", "pa", "kwh", "l/h", "m³/h", "m3/h", "rpm", "l/s",
+    "btu/h", "kbtu/h", "kcal/h", "mpa", "bar", "°c", "l",
+)
+
 # Words that mark a specification's label. Fixed values.
 LABEL_WORDS = (
     "capacità", "potenza", "pressione", "portata", "efficienza",

@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from ..functions import vocabulary as V
-from ..operators.field import ATTRACTION
-from ..sources.rendered import GRID
+
+#: Fixed values, said here once more so that a wrong constant of the engine shows: units, attraction by type, and what the
+#: rendered pages print.
+UNITS = (
+    "kw", "db(a)", "dba", "mm", "kg", "l", "l/h", "m3/h", "m³/h", "m", "inch", "a", "v", "hz", "mm²", "mm2", "°c", "w", "%", "ø", "pa", "hp", "m³/min", "m3/min", "hz/v", "°cbs", "°cbu",
+    "-", "- / kg", "rpm", "bar", "kwh", "kw/h", "mpa", "cfm", "btu/h", "kcal/h", "g/h", "ml/h",
+)
+BASE_UNITS = ("kw", "w", "db", "db(a)", "dba", "kg", "mm", "v", "a", "hz", "kpa", "pa", "kwh", "l/h", "m³/h", "m3/h", "rpm", "l/s", "btu/h", "kbtu/h", "kcal/h", "mpa", "bar", "°c", "l")
+ATTRACTION = {"SPEC_LABEL": 1.0, "SIZE_HEADER": 0.8, "MODEL": 0.6, "KW_HEADER": 0.8, "UNIT": 0.7, "NUMERIC": 0.3, "TEXT": -0.1, "SECTION": 0.0}
+GRID = (("Quantity", "l_quantity", 0, None), ("Price", "l_extendedprice", 2, None), ("Discount", "l_discount", 2, "%"), ("Tax", "l_tax", 2, None))
 
 
 def _q(text: str) -> str:
@@ -37,17 +45,17 @@ def _brand(text: str, brand: str, kind: str) -> str:
     return f"({_any(text, V.BRANDS[brand][kind])} OR {_any(text, V.BRANDS[brand][kind + '_any_case'], '(?i)')})"
 
 
-def _type(text: str, domain: bool, brands: bool) -> str:
+def _type(text: str, domain: bool, brands: bool | tuple[str, ...]) -> str:
     t = _strip(f"coalesce({text}, '')")
     tl = rf"regexp_replace(lower({t}), '\.+$', '')"
     dense = rf"regexp_replace({tl}, '\s', '', 'g')"
     rules = [f"WHEN {t} = '' OR {_any(t, V.EXCLUDED, '(?i)')} THEN 'TEXT'"]
     if domain:
         if brands:
-            rules += [f"WHEN {' OR '.join(_brand(t, b, k) for b in V.BRANDS)} THEN '{n}'" for k, n in (("size", "SIZE_HEADER"), ("model", "MODEL"))]
+            rules += [f"WHEN {' OR '.join(_brand(t, b, k) for b in (V.BRANDS if brands is True else brands))} THEN '{n}'" for k, n in (("size", "SIZE_HEADER"), ("model", "MODEL"))]
         rules.append(rf"WHEN regexp_matches({t}, '^\d+[.,]?\d*\s*kW$') THEN 'KW_HEADER'")
     rules += [
-        f"WHEN {_strip(tl)} IN {_list(V.UNITS)} THEN 'UNIT'",
+        f"WHEN {_strip(tl)} IN {_list(UNITS)} THEN 'UNIT'",
         rf"WHEN regexp_matches({t}, '^\(\d{{1,2}}\)$') THEN 'TEXT'",
         rf"WHEN regexp_matches({dense}, '^[\d.,/\-()x×°%~+:]+$') AND regexp_matches({dense}, '\d') THEN 'NUMERIC'",
         rf"WHEN regexp_matches(replace({t}, ',', ''), '^[\d.]+x[\d.]+x[\d.]+$') THEN 'NUMERIC'",
@@ -74,7 +82,7 @@ SAMPLES = f"""{CODES}, s AS (
   SELECT p_partkey, unnest(range(len(l)))::INT AS k, unnest(l) AS text FROM (
     SELECT p_partkey, [p_name, code, p_size || ' kW', '(' || p_size || ')', '(1' || p_size || ')', {_fixed('p_retailprice', 2)}, p_size || 'x840x' || p_size,
       '-' || p_size || '~43', 'R4' || lpad(p_size::VARCHAR, 2, '0') || 'A', p_size || 'N~/50/380', 'pag. ' || p_size, p_size || 'B', 'www.' || p_type,
-      '[Dati] peso ' || p_size, '°C.', '-', 'dB(A)', 'Specifications', 'COP', 'sound pressure level', 'Condizionamento', '3,14', '  ', '0'] AS l
+      '[Dati] peso ' || p_size, '°C.', '-', 'dB(A)', 'Specifications', 'COP', 'sound pressure level', 'Condizionamento', '3,14', '  ', '0', 'm', '%', 'hp', 'dB', 'kPa', 'l/s', 'kBTU/h'] AS l
     FROM part JOIN codes USING (p_partkey)))"""
 
 
@@ -93,7 +101,7 @@ w AS (SELECT page_key, ord::INT AS ord, text, x0::DOUBLE AS x0, y0::DOUBLE AS y0
 
 
 PARTICLES = f"""{_words()},
-p AS (SELECT page_key, ord, text, x0, y0, x1, y1, size, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, {_type('text', False, False)} AS type FROM w)"""
+p AS MATERIALIZED (SELECT page_key, ord, text, x0, y0, x1, y1, size, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, {_type('text', False, False)} AS type FROM w)"""
 
 
 def _spacing(name: str, source: str, value: str, default: float) -> str:
@@ -326,7 +334,7 @@ RECEIPTS = (
   FROM orders JOIN customer ON o_custkey = c_custkey),
 w AS (SELECT page_key, ord, text, (CASE WHEN ord % 2 = 0 THEN 40 ELSE 200 END)::DOUBLE AS x0, (50 + 20 * (ord // 2))::DOUBLE AS y0, (CASE WHEN ord % 2 = 0 THEN 40 ELSE 200 END + 6 * length(text))::DOUBLE AS x1, (62 + 20 * (ord // 2))::DOUBLE AS y1, 12.0::DOUBLE AS size,
   (ord // 2)::INT AS line_idx, (1 - ord % 2)::INT AS is_key, ['menu.nm', 'menu.price', 'date', 'sub_total.count', 'total.total_price'][ord // 2 + 1] AS category FROM rw),
-p AS (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, {_type('text', False, False)} AS type FROM w)"""
+p AS MATERIALIZED (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, {_type('text', False, False)} AS type FROM w)"""
 )
 PLACES = """pl0 AS (SELECT page_key, round(x, 1) AS px, round(y, 1) AS py, max((entity, spec, value)) AS f FROM facts GROUP BY 1, 2, 3),
 pl AS (SELECT page_key, px, py, f[1] AS entity, f[2] AS spec, f[3] AS value FROM pl0),
@@ -351,7 +359,7 @@ def sql() -> dict[str, str]:
     rows = f"{grid},\n{ROWS}"
     out = {
         "typify": f"WITH {SAMPLES} SELECT p_partkey, k, text, {_type('text', True, True)} AS type, {_type('text', False, False)} AS plain_type FROM s",
-        "typify_base": rf"WITH {SAMPLES}, u AS (SELECT p_partkey, k, {_strip('text')} AS t, regexp_replace(lower({_strip('text')}), '\.+$', '') AS tl FROM s) SELECT p_partkey, k, CASE WHEN tl IN {_list(V.UNITS)} THEN 'UNIT' WHEN regexp_matches(regexp_replace(tl, '\s', '', 'g'), '^[\d.,/\-()x×°%~+:]+$') AND regexp_matches(tl, '\d') OR regexp_matches(t, '^R\d{{3}}') THEN 'NUMERIC' ELSE 'TEXT' END AS type FROM u",
+        "typify_base": rf"WITH {SAMPLES}, u AS (SELECT p_partkey, k, {_strip('text')} AS t, regexp_replace(lower({_strip('text')}), '\.+$', '') AS tl FROM s) SELECT p_partkey, k, CASE WHEN tl IN {_list(BASE_UNITS)} THEN 'UNIT' WHEN regexp_matches(regexp_replace(tl, '\s', '', 'g'), '^[\d.,/\-()x×°%~+:]+$') AND regexp_matches(tl, '\d') OR regexp_matches(t, '^R\d{{3}}') THEN 'NUMERIC' ELSE 'TEXT' END AS type FROM u",
         "z_norm": f"WITH {SAMPLES} SELECT p_partkey, k, round({_z('text')}, 6) AS z FROM s",
         "brand_detect": f"WITH {CODES} SELECT p_partkey, code, CASE {' '.join(f'WHEN {_brand("code", b, "model")} OR {_brand("code", b, "size")} THEN {_q(b)}' for b in V.BRANDS)} END AS brand FROM codes",
         "node_type": f"WITH {CODES} SELECT p_partkey, CASE {' '.join(f'WHEN regexp_matches(code, {_q(r)}) THEN {_q(t)}' for r, t in V.NODE_TYPES)} ELSE 'product_unit' END AS node_type FROM codes",
