@@ -107,8 +107,9 @@ def _best(others: Column, phi) -> Column:
     return let(F.sort_array(F.filter(scored, lambda s: s["phi"] > 0), asc=False), of)
 
 
-def bonds(rows: DataFrame, zones: str | None = None, soft: tuple[float, int, float] | None = None) -> DataFrame:
-    """pages -> page_key, params (sigma_y, sigma_x, lambda_z), nums: for each number its best label, heading and unit.
+def bonds(rows: DataFrame, zones: str | None = None, soft: tuple[float, int, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pages -> page_key, params (sigma_y, sigma_x, lambda_z), nums: for each number its best label, heading and unit; and
+    the columns to keep.
 
     With `zones`, a column of boundaries, a heading must lie in its number's zone. With `soft` (width of a column in
     sigmas, numbers below that make a heading sure, least probability), plain text is a heading by the share of numbers
@@ -163,7 +164,7 @@ def bonds(rows: DataFrame, zones: str | None = None, soft: tuple[float, int, flo
     none = f"array<struct<k:int,ord:int,text:string,x:double,y:double,z:double,spec:{_BEST},head:{_BEST},unit:{_BEST}>>"
     out = staged(out, nums=F.coalesce(let(F.col("w"), bind).cast(none), F.array().cast(none)))
     heads = F.transform(F.col("w.heads"), lambda h: F.struct(h["x"].alias("x"), h["text"].alias("label"), h["type"].alias("type")))
-    return out.select("page_key", "ps", F.col("w.params").alias("params"), "nums", F.when(F.size("nums") > 0, heads).otherwise(F.slice(heads, 1, 0)).alias("headings"))
+    return out.select("page_key", *keep, "ps", F.col("w.params").alias("params"), "nums", F.when(F.size("nums") > 0, heads).otherwise(F.slice(heads, 1, 0)).alias("headings"))
 
 
 def bond_rows(bound: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def test_the_small_table(spark):
     assert (p["sigma_y"], p["sigma_x"], round(p["lambda_z"], 4)) == (18.0, 50.0, 47.6924)
     got = [(r.entity, r.spec, r.value, r.unit, r.phi_spec, r.phi_col) for r in field.fact_rows(b).orderBy("spec_ord").collect()]
     assert got == [("Model-A", "COP", "4.50", None, 0.1171, 0.1018), ("Model-B", "COP", "3.80", None, 0.0842, 0.1018), ("Model-A", "Peso", "25", None, 0.1194, 0.0805), ("Model-B", "Peso", "30", None, 0.0847, 0.0805), ("Model-A", "Potenza", "10.5", None, 0.1192, 0.0686), ("Model-B", "Potenza", "12.0", None, 0.0847, 0.0686)]
-    r = assemble.page_results(s, b).first()
+    r = assemble.page_results(s).first()
     assert (r.page_type, r.mapped, r.unmapped, r.entities, r.total_specs) == ("technical", 6, 0, 2, 6)
     assert pages(spark, TABLE).select(grid.count_universal(F.col("ps"), "x", "fixed")).first()[0] == 3
 
