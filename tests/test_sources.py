@@ -129,3 +129,20 @@ def test_boundaries_on_rendered_pages(spark, small):
     mapped = catalog.queries()["page_class"](spark, small).agg(F.sum("mapped"), F.sum("unmapped")).first()
     bonds = catalog.queries()["phi_bonds"](spark, small).agg(F.count("spec"), F.count_if(F.col("spec").isNull())).first()
     assert tuple(mapped) == tuple(bonds)
+
+
+def test_streamed_tables_go_on_as_in_batch(spark, small, tmp_path):
+    """Pages of documents, a trigger for each few pages in order, against the merging of whole documents."""
+    from pagelattice.operators import assemble, sense
+    from pagelattice.plans import catalog
+    from pagelattice.streaming.pages import continued
+
+    pages = catalog.grid_pages(spark, small).filter("page_key < 72").withColumns({"doc_id": F.floor(F.col("page_key") / 12), "page": (F.col("page_key") % 12 + 1).cast("int")})
+    want = {(str(r.doc_id), r.page): r.base for r in assemble.merged_pages(assemble.page_results(sense.sensed(pages.drop("doc_id", "page"))).withColumns({"doc_id": F.floor(F.col("page_key") / 12), "page": (F.col("page_key") % 12 + 1).cast("int")})).collect()}
+    for k in range(3):
+        pages.filter(F.col("page").between(4 * k + 1, 4 * k + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
+    q = continued(stream).writeStream.format("memory").queryName("bases").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.doc_id, r.page): r.base for r in spark.table("bases").collect()} == want
