@@ -25,8 +25,9 @@ def _confusion(marks: Column) -> Column:
     return F.struct(n(True, True).alias("tp"), n(False, True).alias("fp"), n(False, False).alias("tn"), n(True, False).alias("fn"), F.size(marks).cast("long").alias("total")).cast(_COUNTS)
 
 
-def boundary_marks(ps: Column, regions: Column, axis: str = "x", method: str = "gap") -> Column:
-    """Truth and prediction of every step in lines (columns, on the y axis) with three positive gaps or more.
+def boundary_marks(ps: Column, regions: Column, axis: str = "x", method: str = "gap", short: bool = False) -> Column:
+    """Truth and prediction of every step in lines (columns, on the y axis) with three positive gaps or more; with `short`,
+    in all lines, those with fewer gaps having no boundary.
 
     gap: above the line's natural threshold. Where a line shows no jump, gap+nn also takes steps whose words have nearer
     neighbours above or below, if half of the line's do, and gap+crystal those across which the page's centres part.
@@ -55,9 +56,10 @@ def boundary_marks(ps: Column, regions: Column, axis: str = "x", method: str = "
                 return let(F.struct(evidence.alias("e")), lambda e: F.transform(w["gaps"], lambda g: mark(g, e["e"])))
 
             def threshold(w: Column) -> Column:
-                t = let(positive(w), lambda p: let(natural_threshold(p), lambda t: F.when(t <= F.array_max(p), t)))
+                t = let(positive(w), lambda p: let(natural_threshold(p), lambda t: F.when((t <= F.array_max(p)) & (F.size(p) >= 3), t)))
                 none = F.array().cast("array<struct<t:boolean,p:boolean>>")
-                return F.when(F.size(positive(w)) >= 3, let(F.struct(t.alias("t"), w.alias("gaps")), judged)).otherwise(none)
+                marks = let(F.struct(t.alias("t"), w.alias("gaps")), judged)
+                return marks if short else F.when(F.size(positive(w)) >= 3, marks).otherwise(none)
 
             return let(gaps, threshold)
 
@@ -75,6 +77,13 @@ def boundaries(rows: DataFrame, axis: str = "x", method: str = "gap") -> DataFra
     return out.filter("c.total > 0").select("page_key", "c.*")
 
 
+def word_pairs(rows: DataFrame) -> DataFrame:
+    """pages with columns of truth -> counts of neighbours in lines: whether truth and the line's natural threshold agree
+    that a boundary lies between them; and the page's words."""
+    out = staged(rows.filter(F.size("columns") >= 2), c=let(boundary_marks(F.col("ps"), F.col("columns"), short=True), _confusion))
+    return out.filter("c.total > 0").select("page_key", "c.*", F.size("ps").cast("long").alias("words"))
+
+
 def containing(v: Column, regions: Column, low: str, high: str) -> Column:
     """The first region that holds a place, ends included; -1 without one."""
     return F.coalesce(F.array_min(F.filter(F.transform(regions, lambda r, i: F.when((v >= r[low]) & (v <= r[high]), i)), lambda i: i.isNotNull())), F.lit(-1))
@@ -107,6 +116,28 @@ def structure(rows: DataFrame, col_method: str = "ratio", row_method: str = "fix
     return out.select("page_key", t_rows.alias("gt_rows"), t_cols.alias("gt_cols"), F.col("n_rows").alias("pred_rows"), F.col("n_cols").alias("pred_cols"), F.col("s.f").alias("top"), F.col("s.precision").alias("top_precision"), F.col("s.recall").alias("top_recall"), (F.col("n_cols") == t_cols).alias("col_exact"), (F.col("n_rows") == t_rows).alias("row_exact"))
 
 
+def weighted(accuracies: DataFrame, n: str = "n_bonds", of: tuple[str, ...] = ("col_acc", "row_acc", "cell_acc")) -> DataFrame:
+    """Averages over pages, each weighing as much as its count; 0 where nothing is counted."""
+    return accuracies.agg(F.count(F.lit(1)).alias("pages"), F.sum(n).alias(n), *[F.coalesce(F.try_divide(F.sum(F.col(c) * F.col(n)), F.sum(n)), F.lit(0.0)).alias(c) for c in of])
+
+
+def histogram(scores: DataFrame, of: str, bins: int = 10) -> DataFrame:
+    """How many pages score in each of equal bins from 0 to 1, which is in the last one."""
+    return scores.groupBy(F.least(F.floor(F.round(of, 6) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def column_errors(scores: DataFrame) -> DataFrame:
+    """Tables by how many columns too many (or too few, below 0) were found, with their mean score."""
+    return scores.groupBy((F.col("pred_cols") - F.col("gt_cols")).alias("off")).agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("top"), 6).alias("top"))
+
+
+def fixed_against_jump(rows: DataFrame, k_y: float = 0.05) -> DataFrame:
+    """Grid scores with columns by the fixed ratio and by the largest jump, rows by a fixed constant, over all pages."""
+    kinds = [structure(rows, method, "fixed", k_y).withColumn("method", F.lit(name)) for method, name in (("ratio", "fixed"), ("maxjump", "maxjump"))]
+    share = lambda c: F.avg(F.col(c).cast("int"))
+    return kinds[0].unionByName(kinds[1]).groupBy("method").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("top"), 6).alias("top"), F.round(share("col_exact"), 6).alias("col_exact"), F.round(share("row_exact"), 6).alias("row_exact"))
+
+
 def k_sweep(rows: DataFrame, ks: tuple[float, ...] = (0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)) -> DataFrame:
     """Share of pages whose number of columns is right, for each boundary constant, in one pass over the pages."""
     each = F.array(*[F.struct(F.lit(k).alias("k"), (F.size(col_splits(F.col("ps"), "ratio", k)) + 1 == F.size("columns")).alias("ok")) for k in ks])

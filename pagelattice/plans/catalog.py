@@ -22,13 +22,16 @@ def query(fn: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import files
+
+    return _QUERIES | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from .file_oracles import sql as of_files
     from .oracles import sql
 
-    return sql()
+    return sql() | of_files()
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -73,7 +76,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     """Strings of all sorts made from parts: p_partkey, k, text."""
     size = F.col("p_size").cast("string")
     made = [F.col("p_name"), F.col("code"), F.concat(size, F.lit(" kW")), F.concat(F.lit("("), size, F.lit(")")), F.concat(F.lit("(1"), size, F.lit(")")), rendered.fixed(F.col("p_retailprice"), 2), F.concat(size, F.lit("x840x"), size), F.concat(F.lit("-"), size, F.lit("~43")), F.concat(F.lit("R4"), F.lpad(size, 2, "0"), F.lit("A")), F.concat(size, F.lit("N~/50/380")), F.concat(F.lit("pag. "), size), F.concat(size, F.lit("B")), F.concat(F.lit("www."), F.col("p_type")), F.concat(F.lit("[Dati] peso "), size)]
-    made += [F.lit(x) for x in ("°C.", "-", "dB(A)", "Specifications", "COP", "sound pressure level", "Condizionamento", "3,14", "  ", "0")]
+    made += [F.lit(x) for x in ("°C.", "-", "dB(A)", "Specifications", "COP", "sound pressure level", "Condizionamento", "3,14", "  ", "0", "m", "%", "hp", "dB", "kPa", "l/s", "kBTU/h")]
     codes = rendered.model_codes(_table(spark, d, "part"))
     both = _table(spark, d, "part").join(codes, "p_partkey")
     return both.select("p_partkey", F.posexplode(F.array(*made)).alias("k", "text"))
@@ -234,9 +237,7 @@ def soft_headings(spark, d):
 
 
 def _results(spark, d) -> DataFrame:
-    """Page results: one pass over the sensed pages, which carry both what the counts and what the bonds need."""
-    s = grid_sensed(spark, d)
-    return assemble.page_results(s, field.bonds(s))
+    return assemble.page_results(grid_sensed(spark, d))
 
 
 @query
@@ -252,7 +253,7 @@ def health(spark, d):
 @query
 def rag_chunks(spark, d):
     s = grid_sensed(spark, d)
-    return assemble.chunks(s, assemble.page_results(s, field.bonds(s)))
+    return assemble.chunks(s, assemble.page_results(s))
 
 
 @query

@@ -37,6 +37,20 @@ def word_lists(raw: DataFrame) -> DataFrame:
     return _size(w.select("page_key", "ord", F.col("w.text").alias("text"), box(0).alias("x0"), box(1).alias("y0"), box(2).alias("x1"), box(3).alias("y1"), F.lit(10.0).alias("size")))
 
 
+def plain_words(raw: DataFrame, typed: bool = False) -> DataFrame:
+    """[{text, bbox}] -> particles with their width and height. Without types all are UNKNOWN and even blank words stay, in a
+    font of 10; with the base types blank ones are left out, texts end after 80 characters and no font is known."""
+    from ..functions.typing import base_type_of
+
+    w = raw.select("page_key", F.posexplode(F.from_json("content", WORDS_JSON)).alias("ord", "w"))
+    x0, y0, x1, y1 = (F.get(F.col("w.bbox"), k) for k in range(4))
+    places = [((x0 + x1) / 2).alias("x"), ((y0 + y1) / 2).alias("y"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")]
+    if not typed:
+        return w.select("page_key", "ord", F.col("w.text").alias("text"), *places, (x1 - x0).alias("w"), (y1 - y0).alias("h"), F.lit(10.0).alias("size"), F.lit("UNKNOWN").alias("type"))
+    text = stripped(F.col("w.text"))
+    return w.filter(text != "").select("page_key", "ord", F.substring(text, 1, 80).alias("text"), *places, F.lit(0.0).alias("size"), base_type_of(F.col("w.text")).alias("type"))
+
+
 def truth(raw: DataFrame) -> DataFrame:
     """Layout truth in XML -> page_key, table_box, header_box, rows by their top, columns by their left edge, spans."""
     doc = raw.select("page_key", F.from_xml("content", F.lit(f"struct<{TRUTH_XML.replace('size struct', 'size:struct').replace(', object array', ',object:array')}>")).alias("d"))
@@ -63,6 +77,13 @@ def receipts(raw: DataFrame) -> DataFrame:
     return _size(out.withColumn("size", F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))))
 
 
+def receipt_truth(words: DataFrame) -> DataFrame:
+    """Receipts' words -> what each line says: the words of its key and those of its value, if it has any of a value."""
+    said = lambda is_key: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("is_key") == 1) == is_key, F.struct("ord", "text")))), lambda w: w["text"]), " ")
+    lines = words.groupBy("page_key", "line_idx").agg(F.first("category").alias("category"), F.first("group_id").alias("group_id"), said(True).alias("key"), said(False).alias("value"), F.count_if(F.col("is_key") != 1).alias("n"))
+    return lines.filter("n > 0").drop("n")
+
+
 def forms(raw: DataFrame) -> DataFrame:
     """Forms' words with their entity and its label; words without extent are left out."""
     e = raw.select("page_key", F.posexplode(F.from_json("content", FORM_JSON)["form"]).alias("e_no", "e"))
@@ -125,6 +146,15 @@ def discovered(spark: SparkSession, pattern: str, n: int = 0) -> list[str]:
     return names[:n] if n else names
 
 
+def batches(spark: SparkSession, root: str, brands: tuple[str, ...] | None = None) -> DataFrame:
+    """brand, path of the files brands/<brand>/input/*.pdf below a folder, of known brands alone. No file is read."""
+    from ..functions.vocabulary import BRANDS
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(f"{root}/brands").select("path")
+    brand = F.regexp_extract("path", r"/brands/([^/]+)/input/[^/]+$", 1)
+    return listed.select(brand.alias("brand"), "path").filter(F.col("brand").isin(*(brands or BRANDS)))
+
+
 def pdf_words(spark: SparkSession, pattern: str) -> DataFrame:
     """Spans of PDF files as words, a task for each few files; needs PyMuPDF on the executors. A file that can't be read
     gives one row with its error, so that a batch goes on."""
