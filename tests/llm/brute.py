@@ -4,9 +4,12 @@ import base64
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -36,6 +39,41 @@ def targets(sizes):
         capped |= {s: 3.0 * sizes[s] for s in over}
 
 
+def xx(*values):
+    """Spark's xxhash64: a long is 8 bytes, an int (given as (value,)) 4, null leaves the seed as it is."""
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def permuted(i, n, *key):
+    """Swap-or-not: a place's own place or its mirror, by a hash of the larger one, round after round."""
+    for r in range(16):
+        other = (xx(*key, (r,)) % n - i) % n
+        if xx(*key, (r,), max(i, other), (7,)) % 2 == 0:
+            i = other
+    return i
+
+
+def taken(docs, quotas, block_words, seed=11):
+    """docs: (doc_id, text, source), quotas: source -> (sid, slots, blocks) -> doc_id: words taken. Documents stand in runs
+    by hash, blocks are cut from their words, and each slot takes one block."""
+    out = {}
+    for source, (sid, slots, blocks) in quotas.items():
+        own = [(d, xx(t, s), len(WORD.findall(t or ""))) for d, t, s in docs if s == source]
+        runs = -(-len(own) // 1000)
+        own.sort(key=lambda r: (xx(r[0], r[1]) % runs, r[0], r[1]))
+        times = Counter(permuted(i % blocks, blocks, (seed,), (sid,), i // blocks) for i in range(slots))
+        at = 0
+        for d, _, size in own:
+            out[d] = sum(times[w // block_words] for w in range(at, at + size))
+            at += size
+    return out
+
+
 def base_counts(text):
     text = text or ""
     words = WORD.findall(text)

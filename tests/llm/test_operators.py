@@ -144,6 +144,13 @@ def test_op2_short_last_blocks(spark):
     assert all(r.quota <= 3 * r.n_blocks for r in m.sources.collect())
 
 
+def test_op2_taken_is_what_the_slots_take(spark, small, docs):
+    """Words taken, replayed in plain Python from the quotas alone, on whole documents."""
+    m = mixing.mix(spark.read.parquet(f"{small}/documents.parquet"))
+    quotas = {r.source: (r.sid, r.quota, r.n_blocks) for r in m.sources.collect()}
+    assert {r.doc_id: r.taken for r in m.docs.collect()} == brute.taken(docs, quotas, 64)
+
+
 def test_a_permutation_meets_every_place(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p")).collect()
@@ -310,6 +317,8 @@ def test_op6_odd(spark, odd, none):
     copies = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot copy")).otherwise(F.concat(F.lit("text"), F.col("id").cast("string"))).alias("text"))
     sizes = _sharded(sharding.sharded(sharding.keyed_documents(copies), 8).collect(), 8)
     assert max(sizes.values()) <= 1.06 * min(sizes.values())
+    twice = sharding.sharded(sharding.keyed_documents(odd.unionByName(odd)), 4).collect()
+    assert len(twice) == 2 * len(TEXTS) and sum(_sharded(twice, 4).values()) == 2 * sum(r.size for r in rows)
     out = sharding.shard_documents(odd, 4)
     assert out.columns == [*odd.columns, "shard"] and out.count() == len(TEXTS)
 
@@ -419,6 +428,23 @@ def test_op8_odd(spark, odd, none):
     assert len(byte_cnn.quality(odd, labels.limit(0)).collect()) == len(TEXTS)
 
 
+def test_scores_equal_a_naive_convolution():
+    """Chunk by chunk and filter by filter, with plain sums, over texts of all small sizes."""
+    net = byte_cnn.fit([b"good text here, and more"] * 9 + [b"bad !!! text ###"] * 9, [1] * 9 + [0] * 9, epochs=3)
+    filters = np.concatenate([net.first, net.second]).astype(np.float64)
+    texts = [bytes(random.Random(n).randrange(256) for _ in range(n)) for n in (0, 1, 7, 8, 9, 15, 16, 17, 40, 333)]
+    for text, score in zip(texts, net.scores(texts), strict=True):
+        blocks = max(2, -(-len(text) // 8) + 1)
+        codes = [*text, *[256] * (blocks * 8 - len(text))]
+        best = [0.0] * byte_cnn.FILTERS
+        for at in range(0, len(codes) - 15, 8):
+            chunk = [float(v) for c in codes[at : at + 16] for v in net.embed[c]]
+            for k in range(byte_cnn.FILTERS):
+                best[k] = max(best[k], sum(a * b for a, b in zip(chunk, filters[:, k], strict=True)) + float(net.shift[k]))
+        raw = sum(b * float(w) for b, w in zip(best, net.weights, strict=True)) + net.bias
+        assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-4
+
+
 def test_pieces_cover_the_whole_document(monkeypatch):
     net = byte_cnn.fit([b"good text here"] * 9 + [b"bad !!! text"] * 9, [1] * 9 + [0] * 9, epochs=2)
     text = bytes(random.Random(1).randrange(256) for _ in range(5000))

@@ -61,3 +61,20 @@ def test_run_on_nothing(spark, small, tmp_path):
     docs.filter(F.lit(False)).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_on_odd_rows(spark, odd, small, tmp_path):
+    """Nulls, repeats, long and empty texts and clashing columns through all stages: columns are handed on, and the stages
+    keep what their docstrings say."""
+    rows = odd.unionByName(odd.limit(4))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / f"out-{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out-{k}"))
+        kept.append(docs.count())
+        assert k == 4 or docs.columns == odd.columns
+    assert kept[0] <= rows.count() and kept[1] <= kept[0] and kept[2] <= kept[1] and kept[4] == kept[3]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4]
