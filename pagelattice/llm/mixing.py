@@ -81,7 +81,7 @@ def permuted(i: Column, n: Column, *key: Column, back: bool = False) -> Column:
 
 
 def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: int = 11) -> Mix:
-    """Mix docs (doc_id, text, source; other columns play no part).
+    """Mix docs (doc_id, text, source; other columns play no part). The driver gets two numbers.
 
     A null source is one more source, the last. Null and empty texts have size 0 and are taken 0 times; an empty table
     gives empty results. Repeated rows are separate documents. No block, and so no document, is taken more than 3 times
@@ -91,16 +91,16 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: i
     sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text", "source").alias("tie"), size_of(F.col("text")).alias("size")), "mix-sizes")
     sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), block_words, seed=seed), "mix-sources")
 
-    #: One number for each source: the upper ends of the sources' shares of the slots.
-    bounds, total = [], 0
-    for row in sources.select("sid", "quota").orderBy("sid").toLocalIterator():
-        total += row["quota"]
-        bounds.append(total)
+    # The sources' shares of the slots lie end to end; a draw finds its source by the cell of that line that it falls into.
+    # There are four cells a source, so that a large source spreads over many and no cell holds many small ones on average.
+    row = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    total, width = row["total"], max(1, row["total"] // (4 * max(row["n"], 1)))
     n_shards = -(-total // shard_slots)
-    ends = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
+    ends = sources.filter("quota > 0").select("sid", "quota", F.sum("quota").over(Window.orderBy("sid")).alias("past")).withColumn("begin", F.col("past") - F.col("quota"))
+    cells = ends.select("sid", "begin", "past", F.explode(F.sequence(F.expr(f"begin div {width}"), F.expr(f"(past - 1) div {width}"))).alias("cell"))
     draws = spark.range(n_shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), F.lit(total) - F.col("id") * shard_slots).cast("int") - 1)).alias("slot"))
     u = F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.lit(max(total, 1)))
-    draws = draws.select("shard", u.alias("u")).select("shard", (F.size(F.filter(ends, lambda e: e <= F.col("u"))) + 1).alias("sid"))
+    draws = draws.select("shard", u.alias("u")).withColumn("cell", F.expr(f"u div {width}")).join(cells, "cell").filter("u >= begin and u < past")
     drawn = draws.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"))
 
     start = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
