@@ -71,11 +71,19 @@ def _clean() -> None:
             return
 
 
+def files_for(df: DataFrame) -> int:
+    """How many files df is written to at most: four for each core, or as many as the session's scans would read it in."""
+    spark = df.sparkSession
+    piece = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(4 * spark.sparkContext.defaultParallelism, -(-size_estimate(df) // piece))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet into the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
+    """df written once as Parquet into the shared folder and read back: its lineage ends there, and a lost executor loses
+    nothing. Many small partitions are written together: each file costs a few calls, on local paths even processes."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.coalesce(files_for(df)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
