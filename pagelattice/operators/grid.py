@@ -243,13 +243,80 @@ def predicted_cells(ps: Column, splits: Column, row_method: str = "fixed", k: fl
 
 
 def grids(rows: DataFrame, col_method: str = "ratio", row_method: str = "fixed", k_y: float = K_Y) -> DataFrame:
-    """pages -> page_key, ps, splits, n_cols, n_rows by a method for columns and one for rows (see also spanning.py for
-    the methods that need loops)."""
+    """pages -> page_key, ps, splits, rowed, n_cols, n_rows by a method for columns and one for rows."""
     out = staged(rows, splits=col_splits(F.col("ps"), col_method))
     out = staged(out, rowed=row_groups(F.col("ps"), F.col("splits"), row_method, k_y))
     return out.withColumns({"n_cols": F.size("splits") + 1, "n_rows": F.coalesce(F.array_max(F.transform("rowed", lambda p: p["g"])) + 1, F.lit(0))})
 
 
+#: Words of a cell that reaches over the next one. Fixed values.
+REACHING = ("total", "average", "subtotal", "sum", "mean", "median")
+
+
+def joined_cells(cells: Column) -> Column:
+    """Predicted cells, row by row, with those joined that look like one: row, cols, text.
+
+    An empty cell belongs to the cell on its left, if that one has a text. A cell with a reaching word also takes the
+    next one after that if it is empty or a number. What a cell takes depends on its three nearest to the right alone, so
+    that nothing has to be followed through a row; cells that are wide but have no text don't exist, as blank words are no
+    particles."""
+    def of(cs: Column) -> Column:
+        def beside(c: Column, i: Column, k: int) -> Column:
+            other = F.when(i + k >= 0, F.get(cs, i + k))
+            return F.when(other["row"] == c["row"], other["text"])
+
+        blank = lambda t: F.trim(t) == ""
+        number = lambda t: F.regexp_replace(F.trim(t), r"\.", "").rlike("^[0-9]+$")
+        reaches = lambda t: F.lower(t).rlike("|".join(REACHING))
+        sure = lambda x: F.coalesce(x, F.lit(False))
+        follows = lambda t, left: sure(blank(t) & ~blank(left))
+
+        def marked(c: Column, i: Column) -> Column:
+            two, one, t, after, last = (beside(c, i, k) if k else c["text"] for k in (-2, -1, 0, 1, 2))
+            after_left, after_two = follows(t, one), follows(one, two)
+            taken = sure((blank(t) | number(t)) & ((reaches(one) & ~after_left) | (reaches(two) & after_two)))
+            empty = follows(after, t)
+            more = sure(reaches(t)) & F.when(empty, sure(blank(last) | number(last))).otherwise(sure(blank(after) | number(after)))
+            return F.struct(c["row"].alias("row"), c["col"].alias("col"), t.alias("text"), (after_left | taken).alias("gone"), (empty.cast("int") + more.cast("int")).alias("more"))
+
+        heads = F.filter(F.transform(cs, marked), lambda c: ~c["gone"])
+        return F.transform(heads, lambda c: F.struct(c["row"].alias("row"), F.sequence(c["col"], c["col"] + c["more"]).alias("cols"), c["text"].alias("text")))
+
+    return let(cells, of)
+
+
+def dense_rows(rowed: Column, splits: Column, least: float = 0.3) -> Column:
+    """Particles with their row g -> rows (lists of x, y0) after those that fill too few columns went to the nearer of their
+    neighbours, by upper medians of y0, the upper one of equals.
+
+    One pass from top to bottom: rows above are dense already, a sparse one is added to the last of them, or carried over
+    to the next one, which is looked at with what it got."""
+    row_type = "array<struct<x:double,y0:double>>"
+    listed = F.transform(F.array_sort(F.array_distinct(F.transform(rowed, lambda p: p["g"]))), lambda g: F.transform(F.filter(rowed, lambda p: p["g"] == g), lambda p: F.struct(p["x"].alias("x"), p["y0"].alias("y0")))).cast(f"array<{row_type}>")
+    middle = lambda r: F.get(F.array_sort(F.transform(r, lambda p: p["y0"])), F.floor(F.size(r) / 2).cast("int"))
+
+    def of(rows: Column) -> Column:
+        filled = lambda r: F.size(F.array_distinct(F.transform(r, lambda p: cell_of(p["x"], splits)))) / (F.size(splits) + 1)
+
+        def step(acc: Column, k: Column) -> Column:
+            def placed(w: Column) -> Column:
+                row, above, below = w["row"], w["above"], w["below"]
+                up = F.abs(middle(row) - middle(above)) <= F.abs(middle(row) - middle(below))
+                stays = (filled(row) >= least) | (above.isNull() & below.isNull())
+                onto = ~stays & above.isNotNull() & (below.isNull() | up)
+                done = F.when(stays, F.concat(acc["done"], F.array(row))).when(onto, F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.concat(F.coalesce(above, row), row)))).otherwise(acc["done"])
+                return F.struct(done.alias("done"), F.when(stays | onto, F.slice(row, 1, 0)).otherwise(row).alias("carry"))
+
+            near = F.struct(F.concat(F.get(rows, k), acc["carry"]).alias("row"), F.get(acc["done"], F.size(acc["done"]) - 1).alias("above"), F.get(rows, k + 1).alias("below"))
+            return let(near, placed)
+
+        none = F.struct(F.array().cast(f"array<{row_type}>").alias("done"), F.array().cast(row_type).alias("carry"))
+        folded = F.aggregate(F.sequence(F.lit(0), F.size(rows) - 1), none, step, lambda acc: acc["done"])
+        return F.when(F.size(rows) > 0, folded).otherwise(F.array().cast(f"array<{row_type}>"))
+
+    return let(listed, of)
+
+
 def column_count_typed(ps: Column) -> Column:
     """Columns by centres of typed particles less than 20 apart; two particles at least."""
     kinds = ("NUMERIC", "SPEC_LABEL", "MODEL", "MODEL_CODE", "SIZE_HEADER", "KW_HEADER", "UNIT")

@@ -321,8 +321,17 @@ for _method in ("fixed", "natural", "consensus"):
 
 @query
 def rows_density(spark, d):
-    """Rows after sparse ones went to their neighbours: a loop on each page, in Python."""
-    return alignment.density_row_counts(grid.grids(grid_pages(spark, d)))
+    """Rows after sparse ones went to their neighbours."""
+    return grid.grids(grid_pages(spark, d)).select("page_key", F.size(grid.dense_rows(F.col("rowed"), F.col("splits"))).alias("n_rows"))
+
+
+@query
+def spanning_cells(spark, d):
+    """Receipts' predicted cells with those joined that look like one."""
+    words = typing.particles(rendered.receipt_words(_table(spark, d, "orders"), _table(spark, d, "customer")))
+    pages = expr.staged(sense.pages(words), splits=grid.col_splits(F.col("ps"), "ratio"))
+    pages = expr.staged(pages, cells=grid.predicted_cells(F.col("ps"), F.col("splits")))
+    return pages.select("page_key", F.explode(grid.joined_cells(F.col("cells"))).alias("c")).select("page_key", "c.row", F.array_join(F.transform("c.cols", lambda x: x.cast("string")), ",").alias("cols"), "c.text")
 
 
 @query

@@ -132,7 +132,14 @@ SELECT bc.*, words FROM bc JOIN (SELECT page_key, count(*) AS words FROM p GROUP
     results = f"{facts},\n{RESULTS}"
     zoned = f"{grid},\n{SENSED},\n{ZONED}"
     places = "SELECT page_key, round(x, 1) AS kx, round(y, 1) AS ky, max((entity, spec)) AS f FROM facts GROUP BY 1, 2, 3"
+    cells = f"WITH RECURSIVE {RECEIPTS}, {ROWS}, {_row_votes('fixed')}, {CELLS}, " + engine_sql()["pred_cells"].split(f"{CELLS}, ", 1)[1].rsplit(" SELECT cl.page_key", 1)[0]
     return out | {
+        "spanning_cells": f"""{cells},
+pc AS (SELECT cl.page_key, cl.r::INT AS row, cl.c::INT AS col, coalesce(tx.text, '') AS text FROM cl LEFT JOIN tx ON tx.page_key = cl.page_key AND tx.r = cl.r AND tx.c = cl.c),
+s1 AS (SELECT *, trim(text) = '' AND coalesce(trim(lag(text) OVER cw) <> '', false) AS follows, trim(text) = '' OR regexp_matches(replace(trim(text), '.', ''), '^[0-9]+$') AS loose, regexp_matches(lower(text), 'total|average|subtotal|sum|mean|median') AS reaches FROM pc WINDOW cw AS (PARTITION BY page_key, row ORDER BY col)),
+s2 AS (SELECT *, coalesce(lead(follows) OVER cw, false) AS empty, loose AND NOT follows AND (coalesce(lag(reaches) OVER cw, false) OR (coalesce(lag(follows) OVER cw, false) AND coalesce(lag(reaches, 2) OVER cw, false))) AS taken FROM s1 WINDOW cw AS (PARTITION BY page_key, row ORDER BY col)),
+s3 AS (SELECT *, CASE WHEN empty THEN coalesce(lead(taken, 2) OVER cw, false) ELSE coalesce(lead(taken) OVER cw, false) END AND reaches AS more FROM s2 WINDOW cw AS (PARTITION BY page_key, row ORDER BY col))
+SELECT page_key, row, array_to_string(range(col, col + 1 + empty::INT + more::INT), ',') AS cols, text FROM s3 WHERE NOT follows AND NOT taken""",
         "cross_page": f"{results},\n{MERGED}",
         "rag_chunks": f"{results},\n{CHUNKS}",
         "bounded_bonds": f"{zoned} SELECT page_key, ord, spec, heading FROM bonds",

@@ -75,12 +75,56 @@ def test_grid_score():
     assert alignment.span_grid([([0], [0, 1]), ([1], [0])]) == [[[0, 0, 2, 1], [-1, 0, 1, 1]], [[0, 0, 1, 1], None]]
 
 
-def test_spanning_and_density():
-    cell = lambda t, x=0.0, x1=5.0: {"text": t, "xs": [x] if t else [], "x1s": [x1] if t else []}
-    got = alignment.spanning({(0, 0): cell("Name"), (0, 1): cell(""), (0, 2): cell("c"), (1, 0): cell("Total"), (1, 1): cell("12.5"), (1, 2): cell("x")}, 3, [100.0, 200.0])
-    assert [(c["row"], c["cols"]) for c in got] == [(0, [0, 1]), (0, [2]), (1, [0, 1]), (1, [2])]
-    rows = [[{"x": 10, "y0": 0}, {"x": 150, "y0": 0}], [{"x": 10, "y0": 12}], [{"x": 10, "y0": 40}, {"x": 150, "y0": 40}]]
-    assert [len(r) for r in alignment.dense_rows(rows, [100.0], 0.6)] == [3, 2]
+def test_joined_cells(spark):
+    """Against a plain walk through each row: empty ones first, then reaching words, over all short rows of some texts."""
+    import itertools
+
+    def walked(texts):
+        owner = list(range(len(texts)))
+        for c in range(len(texts) - 1, 0, -1):
+            if not texts[c].strip() and texts[c - 1].strip():
+                owner[c] = c - 1
+        for c in range(len(texts)):
+            if owner[c] == c and "total" in texts[c].lower():
+                after = max(k for k in range(len(texts)) if owner[k] == c) + 1
+                if after < len(texts) and owner[after] == after and (not texts[after].strip() or texts[after].replace(".", "").isdigit()):
+                    owner[after] = c
+        return [([k for k in range(len(texts)) if owner[k] == c], texts[c]) for c in range(len(texts)) if owner[c] == c]
+
+    rows = [r for n in (1, 2, 3, 4) for r in itertools.product(("", "a", "Total", "1.5"), repeat=n)]
+    df = spark.createDataFrame([(k, [(0, c, t) for c, t in enumerate(r)]) for k, r in enumerate(rows)], "k int, cells array<struct<row:int,col:int,text:string>>")
+    got = {r.k: [(list(c.cols), c.text) for c in r.j] for r in df.select("k", grid.joined_cells(F.col("cells")).alias("j")).collect()}
+    assert got == {k: walked(r) for k, r in enumerate(rows)}
+
+
+def test_dense_rows(spark):
+    """Against a loop that starts anew after each merge."""
+    import random
+
+    def looped(rows, n_cols, least):
+        rows = [list(r) for r in rows]
+        while len(rows) > 1:
+            k = next((k for k, r in enumerate(rows) if len({x for x, _ in r}) / n_cols < least), None)
+            if k is None:
+                break
+            mid = [sorted(y for _, y in r)[len(r) // 2] for r in rows]
+            to = min((j for j in (k - 1, k + 1) if 0 <= j < len(rows)), key=lambda j: (abs(mid[k] - mid[j]), j))
+            rows[to] += rows.pop(k) if to < k else rows[k]
+            if to > k:
+                rows.pop(k)
+        return sorted(len(r) for r in rows)
+
+    rng, tables = random.Random(6), []
+    for _ in range(60):
+        at = 0.0
+        tables.append([])
+        for _ in range(rng.randrange(0, 7)):
+            at += rng.choice([5.0, 9.0, 20.0])
+            tables[-1].append([(rng.randrange(4), at + rng.choice([0.0, 1.0])) for _ in range(rng.randrange(1, 5))])
+    data = [(k, [(float(100 * x + 50), y, g) for g, r in enumerate(t) for x, y in r]) for k, t in enumerate(tables)]
+    df = spark.createDataFrame(data, "k int, rowed array<struct<x:double,y0:double,g:int>>").withColumn("splits", F.array(*[F.lit(100.0 * s) for s in (1, 2, 3)]))
+    got = {r.k: sorted(len(x) for x in r.d) for r in df.select("k", grid.dense_rows(F.col("rowed"), F.col("splits"), 0.6).alias("d")).collect()}
+    assert got == {k: looped(t, 4, 0.6) for k, t in enumerate(tables)}
 
 
 def test_diffusion(spark):
