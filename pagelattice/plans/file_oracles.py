@@ -133,7 +133,31 @@ SELECT bc.*, words FROM bc JOIN (SELECT page_key, count(*) AS words FROM p GROUP
     zoned = f"{grid},\n{SENSED},\n{ZONED}"
     places = "SELECT page_key, round(x, 1) AS kx, round(y, 1) AS ky, max((entity, spec)) AS f FROM facts GROUP BY 1, 2, 3"
     cells = f"WITH RECURSIVE {RECEIPTS}, {ROWS}, {_row_votes('fixed')}, {CELLS}, " + engine_sql()["pred_cells"].split(f"{CELLS}, ", 1)[1].rsplit(" SELECT cl.page_key", 1)[0]
+    catalogue = PARTICLES.replace(_type("text", False, False), _type("text", True, ("hitachi",))).replace("AS type FROM w)", "AS type FROM w WHERE page_key IN (SELECT page_key FROM w GROUP BY page_key HAVING count(*) >= 15))")
+    merged = MERGED.rsplit("\nSELECT cp.doc_id", 1)[0]
+    near = _boundary("x")
+    mk = near.split("mk AS (", 1)[1]
     return out | {
+        "boundary_x_nn": f"""WITH RECURSIVE {near.split("mk AS (", 1)[0]}
+nn AS (SELECT p.page_key, f.g, lag(p.x) OVER nw AS px, lag(p.y) OVER nw AS py, p.x AS qx, p.y AS qy, row_number() OVER nw AS i FROM p JOIN rf f USING (page_key, ord) WINDOW nw AS (PARTITION BY p.page_key, f.g ORDER BY p.x0, p.ord)),
+po AS (SELECT p.page_key, p.x, p.y, f.g AS og FROM p JOIN rf f USING (page_key, ord)),
+ev AS (SELECT nn.page_key, nn.g, nn.i, count(po.og) > 0 AS e FROM nn LEFT JOIN po ON po.page_key = nn.page_key AND po.og <> nn.g AND sqrt((px - po.x) * (px - po.x) + (py - po.y) * (py - po.y)) < sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) * 0.5 AND abs(py - po.y) > abs(px - po.x) WHERE i > 1 GROUP BY 1, 2, 3),
+en AS (SELECT page_key, g, count(*) FILTER (WHERE e) >= count(*) * 0.5 AS enough FROM ev GROUP BY 1, 2),
+mk AS ({mk.replace("gt.t <= gt.gs[len(gt.gs)] AND gp.gap > gt.t AS p", "CASE WHEN gt.t <= gt.gs[len(gt.gs)] THEN gp.gap > gt.t ELSE gp.gap > 1 AND en.enough AND ev.e END AS p").replace("JOIN nr USING (page_key) WHERE", "JOIN nr USING (page_key) JOIN en USING (page_key, g) JOIN ev ON ev.page_key = gp.page_key AND ev.g = gp.g AND ev.i = gp.i WHERE")}
+SELECT * FROM bc""",
+        "catalogue_stats": f"""WITH RECURSIVE {catalogue},
+{SENSED},
+{BOUND},
+{FACTS},
+{RESULTS},
+{merged},
+pgt AS (SELECT *, page_key // 12 AS doc_id, CASE WHEN particles < 5 THEN 'empty' WHEN mapped >= 3 AND n_text > 20 THEN 'mixed' WHEN mapped >= 3 THEN 'technical' WHEN n_text > 15 THEN 'narrative' ELSE 'empty' END AS page_type FROM pr),
+mf AS (SELECT cb.doc_id, un.base AS page, f.entity, f.spec FROM un JOIN cb USING (doc_id, base) JOIN facts f USING (page_key)
+  UNION SELECT pgt.doc_id, (pgt.page_key % 12 + 1)::INT, f.entity, f.spec FROM pgt JOIN facts f USING (page_key) LEFT JOIN cb USING (page_key) LEFT JOIN un ON un.doc_id = cb.doc_id AND un.base = cb.base WHERE pgt.page_type <> 'empty' AND un.base IS NULL),
+nd AS (SELECT doc_id, count(DISTINCT (page, entity)) AS nodes, count(*) AS properties FROM mf GROUP BY 1),
+mv AS (SELECT cb.doc_id, count(*) AS merged_pages FROM cb JOIN un USING (doc_id, base) WHERE cb.page <> cb.base GROUP BY 1),
+pg AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE page_type = 'technical') AS technical, count(*) FILTER (WHERE page_type = 'mixed') AS mixed, count(*) FILTER (WHERE page_type = 'narrative') AS narrative, count(*) FILTER (WHERE page_type = 'empty') AS empty, sum(mapped)::BIGINT AS mapped, sum(unmapped)::BIGINT AS unmapped FROM pgt GROUP BY 1)
+SELECT pg.*, coalesce(nodes, 0) AS nodes, coalesce(properties, 0) AS properties, coalesce(merged_pages, 0) AS merged_pages FROM pg LEFT JOIN nd USING (doc_id) LEFT JOIN mv USING (doc_id)""",
         "spanning_cells": f"""{cells},
 pc AS (SELECT cl.page_key, cl.r::INT AS row, cl.c::INT AS col, coalesce(tx.text, '') AS text FROM cl LEFT JOIN tx ON tx.page_key = cl.page_key AND tx.r = cl.r AND tx.c = cl.c),
 s1 AS (SELECT *, trim(text) = '' AND coalesce(trim(lag(text) OVER cw) <> '', false) AS follows, trim(text) = '' OR regexp_matches(replace(trim(text), '.', ''), '^[0-9]+$') AS loose, regexp_matches(lower(text), 'total|average|subtotal|sum|mean|median') AS reaches FROM pc WINDOW cw AS (PARTITION BY page_key, row ORDER BY col)),
