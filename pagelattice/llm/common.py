@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -53,8 +54,16 @@ def scratch_paths() -> list[str]:
     return [path for _, path in _made]
 
 
+def last_scratch() -> str:
+    """The path that was made last."""
+    return _made[-1][1]
+
+
 def removed(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch tables that nothing reads any more."""
+    """Delete scratch tables that nothing reads any more. The shuffle files of the plans that did go when the JVM collects
+    their objects, which it is asked to do."""
+    gc.collect()
+    spark._jvm.System.gc()
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -63,10 +72,12 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
 def _clean() -> None:
     for ref, path in _made:
         spark = ref()
-        if getattr(getattr(spark, "sparkContext", None), "_jsc", None) is None:
+        jsc = getattr(getattr(spark, "sparkContext", None), "_jsc", None)
+        if jsc is None:
             continue
         try:
-            removed(spark, [path])
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the JVM may have ended before the interpreter
             return
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, partitions_for, stored
+from .common import in_arrow, last_scratch, partitions_for, removed, stored
 from .components import components
 
 K, PERCENT = 5, 80
@@ -138,12 +138,14 @@ def _sorted_out(members: DataFrame, docs: DataFrame, often: np.ndarray) -> DataF
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cls)), pa.array((some >> SPARED_BITS).view(np.int64)), pa.array(known)], ["cls", "token", "known"])
 
     every = stored(in_arrow(_texts_of(members, docs).select("cls", "text"), tokens, "cls long, token long, known boolean"), "jaccard-tokens")
+    tokens_path = last_scratch()
     met = _met(every.filter("not known").select("cls", "token"), every.filter("known").select("cls", "token"))
     by_class = met.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("ts")).join(members.select("cls", "n").distinct(), "cls")
     extra = 1 + F.floor(F.col("n") / 12)
     most = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + extra - (F.col("n") - F.size("ts"))
     first = by_class.select("cls", F.explode(F.slice("ts", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))).alias("t")).select("cls", "t.token")
     first = stored(first, "jaccard-first")
+    removed(docs.sparkSession, [tokens_path])
     near = first.groupBy("token").agg(F.min("cls").alias("near"), F.max("cls").alias("far")).filter("near < far").drop("far")
     return _enough(first.join(near, "token"), members.select("cls", "n").distinct())
 
@@ -208,7 +210,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, tie, n, cls) of every row of docs, and links (a, b) that join linked classes, directly or by others."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")  # hashes of int and long differ
     often = frequent_tokens(docs)
-    rows = stored(described(docs, often), "jaccard-rows")
+    described_rows = stored(described(docs, often), "jaccard-rows")
+    rows_path = last_scratch()
+    rows = stored(described_rows.select("doc_id", "tie", "n", "cls"), "jaccard-ids")
     one = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
     def clustered(suspects: DataFrame) -> DataFrame:
@@ -218,7 +222,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
         return stored(members.join(sizes, "cluster").join(one, "cls"), "jaccard-members")
 
-    members = clustered(stored(_suspects(rows.filter("n > 0")), "jaccard-suspects"))
+    suspects = stored(_suspects(described_rows.filter("n > 0")), "jaccard-suspects")
+    removed(docs.sparkSession, [rows_path])  # the first tokens have met
+    members = clustered(suspects)
     large = members.filter(F.col("tokens") > LARGE_TOKENS)
     if large.limit(1).count():
         members = members.filter(F.col("tokens") <= LARGE_TOKENS).unionByName(clustered(stored(_sorted_out(large.select("cls", "n", "doc_id"), docs, often), "jaccard-suspects")))
@@ -238,7 +244,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = stored(_join_clusters(tasks), "jaccard-links")
     if several:
         links = components(links).select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    return rows.select("doc_id", "tie", "n", "cls"), links
+    return rows, links
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
