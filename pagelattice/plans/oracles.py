@@ -240,10 +240,10 @@ ff AS (
 fl AS (SELECT page_key, entity, spec, arg_max(struct_pack(value := value, unit := unit, x := x, y := y, phi_spec := phi_spec, phi_col := phi_col), nth) AS f FROM ff GROUP BY page_key, entity, spec),
 fk AS (SELECT page_key, entity, spec, min(k) AS k FROM fi GROUP BY page_key, entity, spec),
 fe AS (SELECT page_key, entity, min(k) AS ek FROM fi GROUP BY page_key, entity),
-facts AS (SELECT fl.page_key, fl.entity, (dense_rank() OVER (PARTITION BY fl.page_key ORDER BY ek) - 1)::INT AS entity_ord, fl.spec, (row_number() OVER (PARTITION BY fl.page_key ORDER BY fk.k) - 1)::INT AS spec_ord,
+facts AS MATERIALIZED (SELECT fl.page_key, fl.entity, (dense_rank() OVER (PARTITION BY fl.page_key ORDER BY ek) - 1)::INT AS entity_ord, fl.spec, (row_number() OVER (PARTITION BY fl.page_key ORDER BY fk.k) - 1)::INT AS spec_ord,
   f.value, f.unit, f.x, f.y, f.phi_spec, f.phi_col FROM fl JOIN fk USING (page_key, entity, spec) JOIN fe USING (page_key, entity))"""
 
-RESULTS = """pr AS (SELECT c.page_key, c.particles, c.n_text, c.n_data, coalesce(b.mapped, 0) AS mapped, coalesce(b.unmapped, 0) AS unmapped, coalesce(f.entities, 0) AS entities, coalesce(f.total_specs, 0) AS total_specs
+RESULTS = """pr AS MATERIALIZED (SELECT c.page_key, c.particles, c.n_text, c.n_data, coalesce(b.mapped, 0) AS mapped, coalesce(b.unmapped, 0) AS unmapped, coalesce(f.entities, 0) AS entities, coalesce(f.total_specs, 0) AS total_specs
   FROM (SELECT page_key, count(*) AS particles, count(*) FILTER (WHERE type IN ('TEXT', 'SECTION')) AS n_text, count(*) FILTER (WHERE type IN ('NUMERIC', 'UNIT')) AS n_data FROM sensed GROUP BY page_key) c
   LEFT JOIN (SELECT page_key, count(spec) AS mapped, count(*) - count(spec) AS unmapped FROM bonds GROUP BY page_key) b USING (page_key)
   LEFT JOIN (SELECT page_key, count(DISTINCT entity) AS entities, count(*) AS total_specs FROM facts GROUP BY page_key) f USING (page_key))"""
