@@ -45,11 +45,12 @@ zo AS (SELECT p.page_key, p.ord, count(zb.v) AS zone FROM p LEFT JOIN zb ON zb.p
 
 #: Which page each table of a document of twelve pages goes on from.
 MERGED = """hh AS (SELECT page_key, arg_min(type, ord) AS col_type, list(DISTINCT text) AS labels FROM sensed JOIN ok USING (page_key) WHERE type IN ('MODEL', 'SIZE_HEADER', 'KW_HEADER') GROUP BY page_key),
-cp AS (SELECT pr.page_key, pr.page_key // 12 AS doc_id, (pr.page_key % 12 + 1)::INT AS page, col_type, labels, mapped, total_specs FROM pr LEFT JOIN hh USING (page_key)),
-cd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM cp WHERE col_type IS NOT NULL AND mapped >= 3),
-ct AS (SELECT a.doc_id, a.page, a.page_key, arg_max(b.page, b.k) AS to_page FROM cd a LEFT JOIN cd b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k - 3 AND a.k - 1 AND a.page - b.page <= 3 AND a.col_type = b.col_type AND list_has_any(a.labels, b.labels) GROUP BY 1, 2, 3),
+cp AS MATERIALIZED (SELECT pr.page_key, pr.page_key // 12 AS doc_id, (pr.page_key % 12 + 1)::INT AS page, col_type, labels, mapped, total_specs FROM pr LEFT JOIN hh USING (page_key)),
+cd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM cp WHERE col_type IS NOT NULL AND mapped >= 3),
+ct AS MATERIALIZED (SELECT a.doc_id, a.page, a.page_key, arg_max(b.page, b.k) AS to_page FROM cd a LEFT JOIN cd b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k - 3 AND a.k - 1 AND a.page - b.page <= 3 AND a.col_type = b.col_type AND list_has_any(a.labels, b.labels) GROUP BY 1, 2, 3),
 cb AS (SELECT doc_id, page, page_key, page AS base FROM ct WHERE to_page IS NULL UNION ALL SELECT ct.doc_id, ct.page, ct.page_key, cb.base FROM cb JOIN ct ON ct.doc_id = cb.doc_id AND ct.to_page = cb.page),
-sh AS (SELECT DISTINCT m.doc_id, m.base FROM cb m JOIN cb f ON f.doc_id = m.doc_id AND f.page = m.base JOIN facts a ON a.page_key = m.page_key JOIN facts b ON b.page_key = f.page_key AND b.entity = a.entity WHERE m.page <> m.base),
+pel AS MATERIALIZED (SELECT page_key, list(DISTINCT entity) AS es FROM facts GROUP BY 1),
+sh AS (SELECT DISTINCT m.doc_id, m.base FROM cb m JOIN cb f ON f.doc_id = m.doc_id AND f.page = m.base JOIN pel a ON a.page_key = m.page_key JOIN pel b ON b.page_key = f.page_key WHERE m.page <> m.base AND list_has_any(a.es, b.es)),
 un AS (SELECT doc_id, base, count(DISTINCT (entity, spec)) AS n FROM cb JOIN sh USING (doc_id, base) JOIN facts USING (page_key) GROUP BY 1, 2)
 SELECT cp.doc_id, cp.page, CASE WHEN un.base IS NULL THEN cp.page ELSE cb.base END AS base, CASE WHEN un.base IS NULL THEN cp.total_specs WHEN cb.base = cp.page THEN un.n ELSE 0 END::BIGINT AS n_facts
 FROM cp LEFT JOIN cb USING (page_key) LEFT JOIN un ON un.doc_id = cp.doc_id AND un.base = cb.base"""
