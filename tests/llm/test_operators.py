@@ -259,6 +259,26 @@ def test_trees_learn():
     assert pii.fit([]).thresholds == pii.fit([(base, 0, 3.0, 0.0)]).thresholds == dict.fromkeys(range(5), 2.0)
 
 
+def test_op5_learns_the_same_at_any_size(spark):
+    """Lengths of parts tell secrets from look-alikes, whether the table of feature values has some 2,000 rows or far more
+    than 50,000. Without candidates to fit to there are no trees, rather than trees that are held to what they were fitted to."""
+    sizes, step, cells = {"long": 17, "short": 17, "distinct": 8, "near": 3, "before": 4, "after": 4}, 1, {}
+    for k, n in sizes.items():
+        cells[k], step = F.floor(F.col("doc_id") / step) % n, step * n
+    f = F.struct(*[cells.get(k, F.lit({"kind": 4, "parts": 4}.get(k, 0))).cast("int").alias(k) for k in pii.FEATURES])
+    example = (cells["long"] == 8) & (cells["short"] == 8)
+    c = F.struct(F.lit(0).alias("start"), F.lit(4).alias("kind"), F.lit(35).alias("end"), F.lit(False).alias("ok"), F.lit(False).alias("miss"), example.alias("example"), f.alias("f"))
+    base = dict.fromkeys(pii.FEATURES, 0) | {"kind": 4, "parts": 4, "distinct": 3}
+    for rows in (17 * 17 * 8, step):
+        model = pii.train(spark.range(rows).select(F.col("id").alias("doc_id")).select("doc_id", F.array(c).alias("c")))
+        taken = lambda a, b: 1 / (1 + np.exp(-model.bias - sum(t.score(base | {"long": a, "short": b}) for t in model.trees))) >= model.thresholds[4]  # noqa: B023, E731
+        assert [(a, b) for a in range(17) for b in range(17) if taken(a, b)] == [(8, 8)], rows
+    assert not pii.fit([(base, 1, 3.0, 0.0), (base | {"near": 1}, 1, 0.0, 3.0)]).trees
+    # Counts of any size: one example in four, beside a hundred million counter-examples.
+    model = pii.fit([(base | {"near": near}, fold, 1000.0 * near, 3000.0 if near else 1e8) for near in (0, 1) for fold in (0, 1)])
+    assert abs(model.bias + sum(t.score(base | {"near": 1}) for t in model.trees) - np.log(1 / 3)) < 0.1
+
+
 def test_op5_adds_spans(spark):
     """Written-out addresses, numbers without a country's code and tokens without a name come out by the trees, whose
     features the checks' own measures are masked from; look-alikes don't."""
