@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import let, stripped
+from ..functions.expr import let, staged, stripped
 
 WORDS_JSON = "array<struct<text:string,bbox:array<double>>>"
 RECEIPT_JSON = "struct<valid_line:array<struct<category:string,group_id:int,words:array<struct<text:string,is_key:int,quad:struct<x1:double,y1:double,x2:double,y2:double,x3:double,y3:double,x4:double,y4:double>>>>>>"
@@ -116,8 +116,7 @@ def box_lines(lines: DataFrame) -> DataFrame:
 
 def labelled_lines(lines: DataFrame) -> DataFrame:
     """Lines of ten fields between tabs (word, box, colour, font, label) -> words with their label."""
-    f = F.split("value", "\t")
-    rows = lines.select("page_key", "ord", f.alias("f")).filter(F.size("f") >= 10)
+    rows = staged(lines.select("page_key", "ord", "value"), f=F.split("value", "\t")).filter(F.size("f") >= 10)
     out = rows.select("page_key", "ord", F.get("f", 0).alias("text"), *[F.get("f", k).try_cast("int").cast("double").alias(n) for k, n in ((1, "x0"), (2, "y0"), (3, "x1"), (4, "y1"))], stripped(F.get("f", 9)).alias("label"))
     return _size(out.withColumn("size", F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")))).filter("x1 > x0 and y1 > y0")
 
