@@ -6,7 +6,7 @@ from helpers import TABLE, words
 from pyspark.sql import functions as F
 
 from pagelattice.functions.typing import particles
-from pagelattice.operators import field, sense
+from pagelattice.operators import field, grid, gridding, sense
 
 KINDS = ("TEXT", "NUMERIC", "SPEC_LABEL", "UNIT", "MODEL", "UNKNOWN")
 
@@ -48,3 +48,14 @@ def test_plans_stay_small(spark):
 def test_null_places_are_near_nothing(spark):
     rows = sense.pages(particles(words(spark, TABLE))).select("page_key", F.concat("ps", F.array(F.struct(F.lit(99).alias("ord"), F.lit("7").alias("text"), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "x0", "y0", "x1", "y1")], F.lit(10.0).alias("size"), F.lit("NUMERIC").alias("type")))).alias("ps"))
     assert field.fact_rows(field.bonds(sense.sensed(rows))).count() == 6
+
+
+def test_grids_are_those_of_the_expressions(spark):
+    rows = sense.pages(random_pages(spark).withColumn("y1", F.col("y0") + F.when(F.col("ord") % 3 == 0, 3.0).otherwise(4.5)))
+    ps, splits = F.col("ps"), F.col("splits")
+    for method in ("ratio", "ratio+crystal"):
+        want = {r.page_key: r.v for r in rows.select("page_key", grid.col_splits(ps, method).alias("v")).collect()}
+        assert {r.page_key: r.splits for r in grid.splits_of(rows, method).collect()} == want
+    want = rows.withColumn("splits", grid.col_splits(ps, "ratio")).select("page_key", grid.row_splits(ps, splits, "natural").alias("n"), grid.predicted_cells(ps, splits).alias("c")).collect()
+    assert {r.page_key: r.row_splits for r in gridding.gridded(rows, "row_splits", row_method="natural").collect()} == {r.page_key: r.n for r in want}
+    assert {r.page_key: r.cells for r in gridding.gridded(rows, "cells").collect()} == {r.page_key: r.c for r in want}
