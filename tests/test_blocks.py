@@ -59,3 +59,12 @@ def test_grids_are_those_of_the_expressions(spark):
     want = rows.withColumn("splits", grid.col_splits(ps, "ratio")).select("page_key", grid.row_splits(ps, splits, "natural").alias("n"), grid.predicted_cells(ps, splits).alias("c")).collect()
     assert {r.page_key: r.row_splits for r in gridding.gridded(rows, "row_splits", row_method="natural").collect()} == {r.page_key: r.n for r in want}
     assert {r.page_key: r.cells for r in gridding.gridded(rows, "cells").collect()} == {r.page_key: r.c for r in want}
+
+
+def test_counts_and_columns_are_those_of_the_expressions(spark):
+    rows, ps = sense.pages(random_pages(spark)), F.col("ps")
+    want = rows.select("page_key", grid.count_universal(ps).alias("x"), grid.count_universal(ps, "y").alias("y"), grid.col_splits(ps, "maxjump").alias("s"), sense.detected_columns(ps).alias("c")).collect()
+    got = {r.page_key: (r.jump_cols, r.jump_rows) for r in gridding.gridded(rows, "jump_cols", "jump_rows").collect()}
+    assert got == {r.page_key: (r.x, r.y) for r in want}
+    assert {r.page_key: r.splits for r in grid.splits_of(rows, "maxjump").collect()} == {r.page_key: r.s for r in want}
+    assert {r.page_key: r.cols for r in sense.found_columns(rows).collect()} == {r.page_key: r.c for r in want}
